@@ -58,7 +58,7 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
     that gains links and no neighbour has a higher priority, so that two neighbours never
     swap; the driver sets quotas on the shards x shards counts of wanted moves and the rows
     up to each quota move. Labels stay in tables of the shared folder. Ends when nobody
-    moves, or after ``rounds``. No shard ever grows past its room; one whose first labels
+    wants to move, or after ``rounds``. No shard ever grows past its room; one whose first labels
     were too many only loses rows here.
     """
     spark, shards = links.sparkSession, len(room)
@@ -76,11 +76,15 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
         polled = votes.groupBy("a").agg(best.alias("to"), F.max("n").alias("n"), F.max("rank").alias("rank"), F.collect_list(F.struct("near", "n")).alias("counts"))
         own = F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + F.when(c["near"] == F.col("shard"), c["n"]).otherwise(F.lit(0)))
         mine = F.struct(_priority(F.col("node"), F.col("degree"), turn).alias("p"), F.col("node").alias("node"))
-        wants = polled.join(state, polled.a == state.node).where((F.col("to") != F.col("shard")) & (F.col("n") > own) & (mine > F.col("rank")))
-        wants = durable(wants.select("node", F.col("shard").alias("from"), "to", F.col("rank.node").alias("towards")), "wants", paths)
-        wanted = {(r["from"], r["to"]): r["count"] for r in wants.groupBy("from", "to").count().collect()}
-        if not wanted:
+        wants = polled.join(state, polled.a == state.node).where((F.col("to") != F.col("shard")) & (F.col("n") > own))
+        wants = durable(wants.select("node", F.col("shard").alias("from"), "to", F.col("rank.node").alias("towards"), (mine > F.col("rank")).alias("first")), "wants", paths)
+        counts = wants.groupBy("from", "to").agg(F.count_if("first").alias("n")).collect()
+        if not counts:
             break
+        wants = wants.where("first")
+        wanted = {(r["from"], r["to"]): r["n"] for r in counts if r["n"]}
+        if not wanted:
+            continue
         sizes = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
         allowed = quotas([sizes.get(j, 0) for j in range(shards)], room, wanted)
         if allowed == wanted:
@@ -95,8 +99,6 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
         for old in paths[:-1]:
             remove(spark, old)
         del paths[:-1]
-        if not sum(allowed.values()):
-            break
     return state.select("node", "shard")
 
 
