@@ -11,9 +11,11 @@ from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.media import store_and_describe
 from lodestone.llm.packing import pack
 from lodestone.llm.pieces import encode_pieces
+from lodestone.llm.quality import classify
 from lodestone.llm.sharding import shard_equal_texts
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.token_counts import count_tokens
+from lodestone.llm.warc import revisit_digests
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +33,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisit_digests(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_equal_texts(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_describe(table(spark, sf_dir, "documents"))
 
@@ -66,10 +76,37 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_sharding, op4_sentencepiece, op5_exact_dedup, op6_packing, op7_token_counts, op9_media_columns, op10_chat_formatting)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_warc_revisits, op3_sharding, op4_sentencepiece, op5_exact_dedup, op6_packing, op7_token_counts, op8_quality, op9_media_columns, op10_chat_formatting)
 }
 
 SQL: dict[str, str] = {
+    "op2_warc_revisits": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, md5(coalesce(html, '')) AS digest, 1700000000 + page_id * 60 AS sec,
+                   regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+                   regexp_replace(regexp_extract(trim(url), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 2), '/+$', '') AS path,
+                   array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?', 3), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query
+            FROM pages
+        ), c AS (
+            SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url FROM p
+        ), best AS (
+            SELECT v.page_id, arg_max(r.page_id, r.sec * 100000000 + r.page_id) AS source
+            FROM c v JOIN c r ON v.url = r.url AND r.sec < v.sec + 86400 GROUP BY v.page_id
+        ), j AS (
+            SELECT v.page_id, v.url, v.sec, v.digest, r.page_id AS source, r.html, r.digest AS old,
+                   CASE WHEN r.page_id IS NULL THEN 'no_response' WHEN v.page_id % 10 = 3 THEN 'no_validator'
+                        WHEN v.page_id % 10 <> 0 AND v.digest = r.digest THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
+            FROM c v LEFT JOIN best USING (page_id) LEFT JOIN c r ON r.page_id = best.source
+        )
+        SELECT page_id * 2 + 1 AS record_id, url, source * 2 AS response_id, outcome,
+               CASE WHEN outcome = 'resolved' THEN array_to_string(list_sort([
+                   'cache-control: max-age=60', 'content-length: ' || strlen(html), 'content-type: text/html', 'date: t' || (sec + 86400),
+                   CASE WHEN page_id % 10 IN (1, 2) THEN 'etag: ' || old ELSE 'etag: W/' || digest END,
+                   'last-modified: m' || old, 'warc-payload-digest: md5:' || old]), chr(10)) END AS headers,
+               CASE WHEN outcome = 'resolved' THEN strlen(html) END AS payload_bytes,
+               CASE WHEN outcome = 'resolved' THEN sha256(html) END AS payload_sha256
+        FROM j
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
