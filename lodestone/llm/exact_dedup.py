@@ -42,17 +42,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = narrow.join(shared.select("__h"), "__h", "left_anti").select("__id", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size"), F.lit(True).alias("__kept"), "__sha")
 
     texts = durable(
-        keyed.join(shared.select("__h", "__first.id"), "__h")
+        # always a shuffle of both sides: the same plan at every size
+        keyed.join(shared.select("__h", "__first.id").hint("merge"), "__h")
         .select("__id", "__h", "__text", F.col("__id").eqNullSafe(F.col("id")).alias("__head")),
         "texts",
     )
-    heads = texts.where("__head").groupBy("__h").agg(F.min("__text").alias("__head_text"))
+    # written out, so that the join below has its own shuffles, which may be split
+    heads = durable(texts.where("__head").groupBy("__h").agg(F.min("__text").alias("__head_text")), "heads")
     compared = durable(
         texts.join(heads, "__h").select(F.monotonically_increasing_id().alias("__row"), "__id", "__h", F.sha2("__text", 256).alias("__sha"), F.when(F.col("__text") != F.col("__head_text"), F.col("__text")).alias("__other")),
         "compared",
     )
     by = ["__h", "__other"]
-    groups = compared.groupBy(*by).agg(F.count("*").alias("__size"), first.alias("__first"))
+    groups = durable(compared.groupBy(*by).agg(F.count("*").alias("__size"), first.alias("__first")), "groups")
     # almost every group is whole under its hash: the join needs no text but that of a collision
     joined = compared.alias("r").join(groups.alias("g"), (F.col("r.__h") == F.col("g.__h")) & F.col("r.__other").eqNullSafe(F.col("g.__other")))
     many = joined.select("r.__id", F.col("g.__first.id").alias("__keep"), "g.__size", (F.col("r.__row") == F.col("g.__first.row")).alias("__kept"), "r.__sha")
