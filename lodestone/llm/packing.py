@@ -50,18 +50,24 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, width: int) -> list[int]:
     return cuts[::-1]
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    """Sorted without repeats; runs that are sorted already merge quickly."""
+    places = np.sort(places, kind="stable")
+    return places[np.concatenate([[True], places[1:] != places[:-1]])]
+
+
 def candidates(ends: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Where cuts may fall in ``total`` tokens, and what each costs."""
-    places = np.unique(np.concatenate([[0, total], ends, sentences]))
-    places = places[(places >= 0) & (places <= total)]
+    places = _distinct(np.concatenate([[0], ends, sentences, [total]]))
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > GAP)
     if len(wide):
         inner = [np.arange(places[k] + STEP, places[k + 1], STEP) for k in wide]
-        places = np.unique(np.concatenate([places, *inner]))
+        places = _distinct(np.concatenate([places, *inner]))
     costs = np.full(len(places), ELSEWHERE)
-    costs[np.isin(places, sentences)] = AT_SENTENCE
-    costs[np.isin(places, ends) | (places == total)] = AT_DOCUMENT
+    costs[np.searchsorted(places, sentences)] = AT_SENTENCE
+    costs[np.searchsorted(places, ends)] = AT_DOCUMENT
+    costs[-1] = AT_DOCUMENT
     return places, costs
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,16 +18,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MARK = "▁"
+#: A word of Latin letters (without the dotted capital I, which lowers to two characters), whose lower case the tokenizer takes anyway, and marks that are no part of it.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?*%&$#|]*)")
 _LOADED: dict = {}
 
 
 class ChunkTable:
-    """chunk → ids, for as many distinct chunks as ``limit`` allows; then it starts afresh.
+    """chunk → ids (32-bit, as bytes), for as many distinct chunks as ``limit`` allows; then it starts afresh.
 
     Memory is bounded by the limit and the chunks of one slice of texts, not by the corpus.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -45,12 +48,12 @@ class ChunkTable:
         if len(new):
             fresh = [distinct[i] for i in new]
             ids = self.encode(fresh)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             first = len(self.index)
             self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for one in ids for x in one), np.int32, int(sizes.sum()))])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
             at[new] = np.arange(first, first + len(fresh))
         return at
 
@@ -62,7 +65,7 @@ class ChunkTable:
         return self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``most`` bytes; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
@@ -92,7 +95,20 @@ class WordBPE:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content.decode())
-        self.table = ChunkTable(lambda new: [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)])
+        self.table = ChunkTable(self._encode)
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """ids of chunks. A Latin word with marks behind it is two pre-tokens: word and marks have entries of their own."""
+        if len(self.parts) > self.table.limit:
+            self.parts = {}
+        matches = [PLAIN.fullmatch(c) for c in new]
+        split = [(m[1].lower(), m[2]) if m else (c, "") for c, m in zip(new, matches, strict=True)]
+        known = self.parts
+        fresh = list({p for pair in split for p in pair if p not in known})
+        found = self.library.encode_batch_fast(fresh, add_special_tokens=False)
+        known.update((p, array("i", e.ids).tobytes()) for p, e in zip(fresh, found, strict=True))
+        return [known[a] + known[b] if b else known[a] for a, b in split]
 
     def split(self, texts: pa.Array, single: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct chunks, each chunk's place among them, and the texts' offsets into the chunks.
@@ -125,7 +141,7 @@ class Pieces:
             raise ValueError(f"pieces cross word markers: {crossing[:5]}")
         self.bos, self.eos, self.lone = lib.bos_id(), lib.eos_id(), lib.piece_to_id(MARK)
         # the library puts a marker before each text it is given: a chunk goes in without its first
-        self.table = ChunkTable(lambda new: [i if c else [self.lone] for c, i in zip(new, lib.encode(new, num_threads=1), strict=True)])
+        self.table = ChunkTable(lambda new: [array("i", i if c else [self.lone]).tobytes() for c, i in zip(new, lib.encode(new, num_threads=1), strict=True)])
 
     @staticmethod
     def chunks(text: str) -> list[str]:
