@@ -381,7 +381,7 @@ def _(t: Tables):
     return ordered.delta_features_vector(e, ["value", "u"], [1, 1], ["ts", "event_id"], ["user_id"], targets=["value", "u"]).select("event_id", "features", "target")
 
 
-@query("W5_time_series", "SELECT event_id, CAST(epoch(ts) AS BIGINT) AS time, value FROM events")
+@query("W5_time_series", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS time, value FROM events")
 def _(t: Tables):
     return t.events.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), "value")
 

@@ -203,7 +203,7 @@ def _(t: Tables):
     return rounded(metrics.binary_kpi(d, metrics.thresholds(d)))
 
 
-@query("E22_supplied_bounds", f"SELECT round(threshold, 6) AS threshold, count(*) FILTER (score > threshold AND label = 1) AS tp FROM (SELECT i * 0.31 AS threshold FROM range(100) r(i)), {JUDGED} GROUP BY threshold")
+@query("E22_supplied_bounds", f"SELECT round(threshold, 6) AS threshold, count(*) FILTER (score > threshold AND label = 1) AS tp FROM (SELECT i * 0.31e0 AS threshold FROM range(100) r(i)), {JUDGED} GROUP BY threshold")
 def _(t: Tables):
     d = judged(t)
     return metrics.rates(d, metrics.thresholds(d, bounds=(0.0, 30.0))).select(F.round("threshold", 6).alias("threshold"), "tp")
