@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.plans.gram import Gram
 
 MOST = 10_000
+SLICE = 256
 
 
 def gather(df: DataFrame, features: str = "features", target: str = "target", most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +35,9 @@ def predict_batches(df: DataFrame, model, features: str = "features", columns: t
     def run(frames):
         for pdf in frames:
             x = np.array(pdf[features].tolist(), float).reshape(len(pdf), -1)
-            yield pdf.assign(**dict(zip(columns, model.posterior(x), strict=True))) if len(pdf) else pdf.assign(**{c: [] for c in columns})
+            # slices: a model may look at all pairs of the rows it is given
+            parts = [model.posterior(x[i : i + SLICE]) for i in range(0, len(x), SLICE)]
+            yield pdf.assign(**{c: np.concatenate([p[k] for p in parts]) if parts else [] for k, c in enumerate(columns)})
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
     return df.mapInPandas(run, f"{kinds}, " + ", ".join(f"{c} double" for c in columns))
@@ -47,10 +51,15 @@ class GaussianProcess:
     y: np.ndarray
     mean: object = staticmethod(lambda x: np.zeros(len(x)))
 
-    def factor(self):
+    @cached_property
+    def _factor(self):
         l = np.linalg.cholesky(self.kernel(self.x, self.x) + self.noise(self.x, self.x))  # noqa: E741
         return l, np.linalg.solve(l.T, np.linalg.solve(l, self.y - self.mean(self.x)))
 
+    def factor(self):
+        """(Cholesky factor of the covariance, weights of the training points), computed once."""
+        return self._factor
+
     def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Means and variances; the new points carry no noise."""
         l, a = self.factor()
