@@ -63,7 +63,7 @@ def resolve_revisits(records: DataFrame, bucket: int = 3_600_000_000) -> DataFra
     Null headers are none; records repeated with one id stay rows of their own, a repeated
     response counting once; without revisits the result is empty.
     """
-    base = records.select("record_id", "warc_type", "uri", F.unix_micros("ts").alias("ts"), "status", "headers", "payload", canonical_url(F.col("uri")).alias("url"))
+    base = records.select("record_id", "warc_type", "uri", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "status", "headers", "payload", canonical_url(F.col("uri")).alias("url"))
     full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200), F.lit(False))
     revisit = F.coalesce(F.col("warc_type") == "revisit", F.lit(False))
     narrow = base.where(full | revisit).select(F.col("record_id").alias("id"), "url", "ts", full.alias("full"))
