@@ -168,7 +168,12 @@ class LaplaceClassifier:
     x: np.ndarray
     y: np.ndarray
 
-    def mode(self, steps: int = 50):
+    @cached_property
+    def _mode(self):
+        return self.search()
+
+    def search(self, steps: int = 50):
+        """(mode, gradient there, root of the curvature, Cholesky factor)."""
         k = self.kernel(self.x, self.x)
         f = np.zeros(len(self.y))
         for _ in range(steps):
@@ -187,7 +192,7 @@ class LaplaceClassifier:
 
     def posterior(self, x):
         """(probability of 1, latent variance)."""
-        f, grad, root, l = self.mode()  # noqa: E741
+        f, grad, root, l = self._mode  # noqa: E741
         k = self.kernel(self.x, x)
         m = k.T @ grad
         v = np.linalg.solve(l, root[:, None] * k)
@@ -204,7 +209,8 @@ class LeastSquaresSVM:
     y: np.ndarray
     regularisation: float = 1.0
 
-    def solve(self):
+    @cached_property
+    def _solution(self):
         n = len(self.y)
         m = np.zeros((n + 1, n + 1))
         m[0, 1:] = m[1:, 0] = 1
@@ -212,6 +218,10 @@ class LeastSquaresSVM:
         out = np.linalg.solve(m, np.r_[0, self.y])
         return out[1:], out[0]
 
+    def solve(self):
+        """(α, b), computed once."""
+        return self._solution
+
     def posterior(self, x):
         a, b = self.solve()
         return (self.kernel(x, self.x) @ a + b,)
