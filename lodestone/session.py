@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import math
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILE_ROWS = 50_000
+
+
 def builder(app: str = "lodestone", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the tests and the bench share."""
     return (
@@ -57,14 +61,17 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
-def durable(df: DataFrame, kind: str = "cut", keep: list | None = None) -> DataFrame:
+def durable(df: DataFrame, kind: str = "cut", keep: list | None = None, rows: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a plan that only reads it back.
 
     Unlike a local checkpoint it survives the loss of any executor, and its size is known to
     the optimiser, which therefore broadcasts it only when it is truly small. ``keep`` gets
-    the path, for an iteration that wants to drop its predecessor's table.
+    the path, for an iteration that wants to drop its predecessor's table. ``rows``, where the
+    caller knows about how many there are, keeps small tables in few files, ``FILE_ROWS`` each.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     path = new_path(spark, kind)
     df.write.option("compression", "zstd").parquet(path)
     if keep is not None:
