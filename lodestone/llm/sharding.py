@@ -64,9 +64,10 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
     spark, shards = links.sparkSession, len(room)
     sound = links.where("a is not null and b is not null and a <> b")
     both = sound.select("a", "b").union(sound.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = both.groupBy("a").agg(F.count("*").alias("degree"))
-    nodes = durable(degrees.select(F.col("a").alias("node"), "degree", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard")), "nodes")
     edges = durable(both, "edges")
+    n = edges.count()
+    degrees = edges.groupBy("a").agg(F.count("*").alias("degree"))
+    nodes = durable(degrees.select(F.col("a").alias("node"), "degree", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard")), "nodes", rows=n)
     paths: list[str] = []
     state = nodes
     for turn in range(rounds):
@@ -77,7 +78,7 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
         own = F.aggregate("counts", F.lit(0).cast("long"), lambda t, c: t + F.when(c["near"] == F.col("shard"), c["n"]).otherwise(F.lit(0)))
         mine = F.struct(_priority(F.col("node"), F.col("degree"), turn).alias("p"), F.col("node").alias("node"))
         wants = polled.join(state, polled.a == state.node).where((F.col("to") != F.col("shard")) & (F.col("n") > own))
-        wants = durable(wants.select("node", F.col("shard").alias("from"), "to", F.col("rank.node").alias("towards"), (mine > F.col("rank")).alias("first")), "wants", paths)
+        wants = durable(wants.select("node", F.col("shard").alias("from"), "to", F.col("rank.node").alias("towards"), (mine > F.col("rank")).alias("first")), "wants", paths, n)
         counts = wants.groupBy("from", "to").agg(F.count_if("first").alias("n")).collect()
         if not counts:
             break
@@ -95,7 +96,7 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
             limit = F.create_map(*[F.lit(x) for (a, b), n in allowed.items() for x in (a * shards + b, n)]) if allowed else F.create_map(F.lit(-1), F.lit(0))
             going = placed.where(F.col("place") < F.coalesce(F.try_element_at(limit, F.col("from") * shards + F.col("to")), F.lit(0)))
         moved = state.join(going.select("node", "to"), "node", "left").select("node", "degree", F.coalesce("to", "shard").alias("shard"))
-        state = durable(moved, "nodes", paths)
+        state = durable(moved, "nodes", paths, n)
         for old in paths[:-1]:
             remove(spark, old)
         del paths[:-1]
@@ -112,14 +113,14 @@ def shard_rows(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 8)
     total = nodes.count()
     room = capacities(total, shards)
     labels = propagate(links, room, rounds)
-    held = durable(nodes.join(labels, "node", "left"), "labelled")
+    held = durable(nodes.join(labels, "node", "left"), "labelled", rows=total)
     sizes = {r["shard"]: r["count"] for r in held.where("shard is not null").groupBy("shard").count().collect()}
     over = {j: n for j, n in sizes.items() if n > room[j]}
     if over:
         placed = number(held.where(F.col("shard").isin(*over)).select("node", "shard"), ["shard"], F.xxhash64("node"), ["node"], "place", sum(over.values()))
         limit = F.create_map(*[F.lit(x) for j in over for x in (j, room[j])])
         out = placed.where(F.col("place") >= F.element_at(limit, F.col("shard"))).select("node", F.lit(True).alias("out"))
-        held = durable(held.join(out, "node", "left").withColumn("shard", F.when(F.col("out").isNull(), F.col("shard"))).drop("out"), "labelled")
+        held = durable(held.join(out, "node", "left").withColumn("shard", F.when(F.col("out").isNull(), F.col("shard"))).drop("out"), "labelled", rows=total)
         sizes = {j: min(n, room[j]) for j, n in sizes.items()}
     free = held.where("shard is null").drop("shard")
     waiting = total - sum(sizes.values())
@@ -129,7 +130,7 @@ def shard_rows(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 8)
         shard = F.when(F.col("place") < upto, F.lit(j)).otherwise(shard)
         upto -= room[j] - sizes.get(j, 0)
     filled = ranked.withColumn("shard", shard).drop("place")
-    full = durable(held.where("shard is not null").unionByName(filled), "shards")
+    full = durable(held.where("shard is not null").unionByName(filled), "shards", rows=total)
     return number(full, ["shard"], F.xxhash64("node"), ["node"], "slot", total)
 
 
@@ -144,11 +145,13 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text)).alias("hash"), F.octet_length(text).alias("bytes"))
     base = durable(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
-    run = max(2, base.count() // (4 * shards))
-    same = base.groupBy("hash", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    total = base.count()
+    run = max(2, total // (4 * shards))
+    # written out, so that the join has shuffles of its own, which Spark may split
+    same = durable(base.groupBy("hash", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "same", rows=total)
     member = base.join(same, ["hash", "bytes"]).select("node", "hash", "bytes", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / run).cast("long")).alias("run"))
-    member = durable(member, "members")
-    heads = durable(member.groupBy("hash", "bytes", "run").agg(F.min("node").alias("head")), "heads")
+    member = durable(member, "members", rows=total)
+    heads = durable(member.groupBy("hash", "bytes", "run").agg(F.min("node").alias("head")), "heads", rows=total)
     spokes = member.join(heads, ["hash", "bytes", "run"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
     chain = heads.alias("x").join(heads.alias("y"), (F.col("x.hash") == F.col("y.hash")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.run") + 1 == F.col("y.run"))).select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
     placed = shard_rows(base.select("node", "id", "size", "crc"), spokes.union(chain), shards)
