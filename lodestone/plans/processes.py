@@ -115,11 +115,12 @@ class MatrixT:
         """(means, scale matrix between outputs, degrees of freedom)."""
         h = lambda z: np.column_stack([np.ones(len(z)), z])
         a = self.kernel(self.x, self.x) + self.noise(self.x, self.x)
-        hx, inv = h(self.x), np.linalg.inv(a)
-        b = np.linalg.solve(hx.T @ inv @ hx, hx.T @ inv @ self.y)
-        r = self.y - hx @ b
+        l, hx = np.linalg.cholesky(a), h(self.x)  # noqa: E741
+        hl, yl = np.linalg.solve(l, hx), np.linalg.solve(l, self.y)
+        b = np.linalg.solve(hl.T @ hl, hl.T @ yl)
+        r = yl - hl @ b
         dof = len(self.x) - hx.shape[1]
-        return h(x) @ b + self.kernel(self.x, x).T @ inv @ r, r.T @ inv @ r / dof, dof
+        return h(x) @ b + np.linalg.solve(l, self.kernel(self.x, x)).T @ r, r.T @ r / dof, dof
 
 
 @dataclass(frozen=True)

@@ -283,7 +283,7 @@ def _(t: Tables):
 # -- kernels -------------------------------------------------------------------------------------------
 
 #: The first eight components of each vector against the next eight; s2, s1, d, xx, yy as the SQL sees them.
-PAIRS = """(SELECT vec_id, list_sum([p * p for p in dl]) AS s2, list_sum([abs(p) for p in dl]) AS s1, list_dot_product(a, b) AS d, list_dot_product(a, a) AS xx, list_dot_product(b, b) AS yy FROM (
+PAIRS = """(SELECT vec_id, list_sum([p * p for p in dl]) AS s2, list_sum([abs(p) for p in dl]) AS s1, list_dot_product(a, b) AS d, list_dot_product(a, a) AS xx, list_dot_product(b, b) AS yy, dl FROM (
     SELECT vec_id, a, b, [z[1] - z[2] for z in list_zip(a, b)] AS dl FROM (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS a, CAST(embedding[9:16] AS DOUBLE[]) AS b FROM embeddings)))"""
 
 KERNELS = {
