@@ -1,9 +1,27 @@
 """Dataflow, statistics, linear algebra and statistical learning as Spark plans."""
 
+import contextlib
+import ctypes
 import os
-
-# small dense solves beside a JVM: BLAS threads cost more than they give, and may starve
-for _name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
-    os.environ.setdefault(_name, "1")
+import re
 
 __version__ = "0.1.0"
+
+
+def _one_blas_thread() -> None:
+    """Small dense solves beside a JVM: BLAS threads cost more than they give, and may starve each other.
+
+    The variables count for libraries loaded later; one that is loaded already is asked itself.
+    """
+    for name in ("OPENBLAS_NUM_THREADS", "OMP_NUM_THREADS"):
+        os.environ.setdefault(name, "1")
+    with contextlib.suppress(OSError, AttributeError), open("/proc/self/maps") as maps:
+        for path in set(re.findall(r"/\S*openblas\S*\.so\S*", maps.read())):
+            library = ctypes.CDLL(path)
+            for prefix in ("", "scipy_"):
+                for suffix in ("", "64_", "_64_"):
+                    with contextlib.suppress(AttributeError):
+                        getattr(library, f"{prefix}openblas_set_num_threads{suffix}")(1)
+
+
+_one_blas_thread()
