@@ -37,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = durable(keyed.select(F.monotonically_increasing_id().alias("__row"), "__id", "__h", F.sha2("__text", 256).alias("__sha")), "hashes")
     # the first row of a hash is its representative; the struct orders null ids last
     first = F.min(F.struct(F.col("__id").isNull().alias("n"), F.col("__id").alias("id"), F.col("__row").alias("row")))
-    shared = durable(narrow.groupBy("__h").agg(F.count("*").alias("__n"), first.alias("__first")).where("__n > 1"), "shared")
+    shared = durable(narrow.groupBy("__h").agg(F.count("*").alias("__n"), first.alias("__first")).where("__n > 1"), "shared", rows=narrow.count())
 
     alone = narrow.join(shared.select("__h"), "__h", "left_anti").select("__id", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size"), F.lit(True).alias("__kept"), "__sha")
 

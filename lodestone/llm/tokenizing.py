@@ -29,7 +29,7 @@ class ChunkTable:
     Memory is bounded by the limit and the chunks of one slice of texts, not by the corpus.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 600_000):
         self.encode, self.limit = encode, limit
         self.clear()
 
@@ -65,7 +65,7 @@ class ChunkTable:
         return self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``most`` bytes; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
@@ -76,6 +76,8 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
         held += n
     if at < batch.num_rows:
         yield batch.slice(at)
+    # an idle worker must not hold what its largest slice once took
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: int) -> pa.Array:
