@@ -19,11 +19,9 @@ BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 BLOCK = 1 << 18
 
 
-def fingerprint(text: bytes, words_per: int = 3) -> int:
-    """64 bits; a bit is 1 if set in over half the hashes of the word shingles, repeats included."""
+def spans(text: bytes, words_per: int) -> tuple[bytes, list[int], list[int]]:
+    """The words in lower case (ASCII) with single blanks, and where each shingle starts and ends."""
     words = text.translate(LOWER).split()
-    if not words:
-        return 0
     line = b" ".join(words)
     n = len(words)
     lengths = np.fromiter(map(len, words), np.int64, n)
@@ -31,9 +29,15 @@ def fingerprint(text: bytes, words_per: int = 3) -> int:
     starts = (ends - lengths).tolist()
     ends = ends.tolist()
     if n > words_per:
-        starts, ends = starts[: n - words_per + 1], ends[words_per - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
+        return line, starts[: n - words_per + 1], ends[words_per - 1 :]
+    return line, starts[:1], ends[-1:]
+
+
+def fingerprint(text: bytes, words_per: int = 3) -> int:
+    """64 bits; a bit is 1 if set in over half the hashes of the word shingles, repeats included."""
+    line, starts, ends = spans(text, words_per)
+    if not starts:
+        return 0
     total, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(starts), BLOCK):
         s, e = starts[at : at + BLOCK], ends[at : at + BLOCK]
