@@ -44,6 +44,25 @@ def quotas(sizes: list[int], room: list[int], wanted: dict[tuple[int, int], int]
             return {k: n for k, n in moves.items() if n}
 
 
+def pack_groups(groups: list[tuple], room: list[int]) -> list[tuple]:
+    """(group, shard, from, upto): places of each (group, size), the largest first, whole where they fit.
+
+    A group takes the fullest shard that still holds it; if none does, it fills the emptiest
+    one whole and goes on with the rest.
+    """
+    free, out = list(room), []
+    for name, size in sorted(groups, key=lambda g: (-g[1], g[0])):
+        at = 0
+        while at < size:
+            fits = [(n, j) for j, n in enumerate(free) if n >= size - at]
+            j = min(fits)[1] if fits else free.index(max(free))
+            n = min(free[j], size - at)
+            out.append((name, j, at, at + n))
+            free[j] -= n
+            at += n
+    return out
+
+
 def _priority(node: Column, degree: Column, turn: int) -> Column:
     """Nodes of few links give way to those of many; among equals a hash decides anew each round."""
     return F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(1 << 32)) / F.lit(UNIT) / degree
@@ -67,7 +86,14 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
     edges = durable(both, "edges")
     n = edges.count()
     degrees = edges.groupBy("a").agg(F.count("*").alias("degree"))
-    nodes = durable(degrees.select(F.col("a").alias("node"), "degree", F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int").alias("shard")), "nodes", rows=n)
+    first = F.pmod(F.xxhash64("a"), F.lit(shards)).cast("int")
+    if max(room) - min(room) > 1:
+        # in proportion to the room
+        first, upto, place = F.lit(shards - 1), sum(room), F.pmod(F.xxhash64("a"), F.lit(sum(room)))
+        for j in reversed(range(shards)):
+            first = F.when(place < upto, F.lit(j)).otherwise(first)
+            upto -= room[j]
+    nodes = durable(degrees.select(F.col("a").alias("node"), "degree", first.alias("shard")), "nodes", rows=n)
     paths: list[str] = []
     state = nodes
     for turn in range(rounds):
@@ -103,15 +129,17 @@ def propagate(links: DataFrame, room: list[int], rounds: int = 8) -> DataFrame:
     return state.select("node", "shard")
 
 
-def shard_rows(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 8) -> DataFrame:
+def shard_rows(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 8, fixed: DataFrame | None = None, taken: dict[int, int] | None = None) -> DataFrame:
     """``nodes`` (a unique long ``node`` and other columns) with ``shard`` and ``slot``; law ``rows``.
 
     Linked nodes take the shards of ``propagate``; where first labels left a shard too full,
     the excess joins the nodes without links, which fill what room is left. So the shards'
-    counts are at most one apart. ``slot`` runs from 0 without gaps in each shard.
+    counts are at most one apart. ``slot`` runs from 0 without gaps in each shard. ``fixed``
+    (the same columns and ``shard``) are further rows that have their shards, ``taken`` their counts.
     """
-    total = nodes.count()
-    room = capacities(total, shards)
+    taken = taken or {}
+    total = nodes.count() + sum(taken.values())
+    room = [n - taken.get(j, 0) for j, n in enumerate(capacities(total, shards))]
     labels = propagate(links, room, rounds)
     held = durable(nodes.join(labels, "node", "left"), "labelled", rows=total)
     sizes = {r["shard"]: r["count"] for r in held.where("shard is not null").groupBy("shard").count().collect()}
@@ -123,36 +151,53 @@ def shard_rows(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 8)
         held = durable(held.join(out, "node", "left").withColumn("shard", F.when(F.col("out").isNull(), F.col("shard"))).drop("out"), "labelled", rows=total)
         sizes = {j: min(n, room[j]) for j, n in sizes.items()}
     free = held.where("shard is null").drop("shard")
-    waiting = total - sum(sizes.values())
+    waiting = sum(room) - sum(sizes.values())
     ranked = number(free.withColumn("all", F.lit(0)), ["all"], F.xxhash64("node"), ["node"], "place", waiting).drop("all")
     shard, upto = F.lit(shards - 1), sum(room[j] - sizes.get(j, 0) for j in range(shards))
     for j in reversed(range(shards)):
         shard = F.when(F.col("place") < upto, F.lit(j)).otherwise(shard)
         upto -= room[j] - sizes.get(j, 0)
     filled = ranked.withColumn("shard", shard).drop("place")
-    full = durable(held.where("shard is not null").unionByName(filled), "shards", rows=total)
+    full = held.where("shard is not null").unionByName(filled)
+    full = durable(full if fixed is None else full.unionByName(fixed), "shards", rows=total)
     return number(full, ["shard"], F.xxhash64("node"), ["node"], "slot", total)
 
 
 def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, size, text_crc32, law, shard, slot and grown_shard (null) of every row.
 
-    Links join equal texts, null counting as empty: each row to the first row of its run,
-    runs of a text to each other in a chain. A text with more rows than a quarter of a
-    shard has several runs, so that a group too large for one shard fills few shards whole.
-    Rows with repeated or null ids are rows like any other; an empty table gives no row.
+    Equal texts, null counting as empty, go together. A text with more rows than a quarter of
+    a shard moves as one weighted node: the driver packs these, fewer than four a shard, largest
+    first, so that a group takes one shard where one still holds it and else fills few whole.
+    Of the others each row is linked to the first of its text. Rows with repeated or null ids
+    are rows like any other; an empty table gives no row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text)).alias("hash"), F.octet_length(text).alias("bytes"))
     base = durable(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
     total = base.count()
-    run = max(2, total // (4 * shards))
+    large = max(2, total // (4 * shards))
     # written out, so that the join has shuffles of its own, which Spark may split
-    same = durable(base.groupBy("hash", "bytes").agg(F.count("*").alias("n")).where("n > 1"), "same", rows=total)
-    member = base.join(same, ["hash", "bytes"]).select("node", "hash", "bytes", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / run).cast("long")).alias("run"))
-    member = durable(member, "members", rows=total)
-    heads = durable(member.groupBy("hash", "bytes", "run").agg(F.min("node").alias("head")), "heads", rows=total)
-    spokes = member.join(heads, ["hash", "bytes", "run"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
-    chain = heads.alias("x").join(heads.alias("y"), (F.col("x.hash") == F.col("y.hash")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.run") + 1 == F.col("y.run"))).select(F.col("x.head").alias("a"), F.col("y.head").alias("b"))
-    placed = shard_rows(base.select("node", "id", "size", "crc"), spokes.union(chain), shards)
+    same = durable(base.groupBy("hash", "bytes").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "same", rows=total)
+    spokes = base.join(same.where(F.col("n") <= large), ["hash", "bytes"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    groups = [((bytes(r["hash"]), r["bytes"]), r["n"]) for r in same.where(F.col("n") > large).collect()]
+    columns, rest, fixed, taken = ["node", "id", "size", "crc"], base, None, {}
+    if groups:
+        places = pack_groups(groups, capacities(total, shards))
+        for _, j, a, b in places:
+            taken[j] = taken.get(j, 0) + b - a
+        keys = base.sparkSession.createDataFrame([(bytearray(h), n) for (h, n), _ in groups], "hash binary, bytes int")
+        plan = base.sparkSession.createDataFrame([(bytearray(g[0]), g[1], j, a, b, b - a < dict(groups)[g]) for g, j, a, b in places], "hash binary, bytes int, shard int, from long, upto long, cut boolean")
+        # fewer rows than five a shard
+        rest = base.join(F.broadcast(keys), ["hash", "bytes"], "left_anti")
+        sizes = dict(groups)
+        split = {g for g, _, a, b in places if b - a < sizes[g]}
+        fixed = base.join(F.broadcast(plan.where(~F.col("cut"))), ["hash", "bytes"]).select(*columns, "shard")
+        if split:
+            parts = F.broadcast(plan.where("cut"))
+            big = durable(base.join(parts.select("hash", "bytes").distinct(), ["hash", "bytes"], "left_semi"), "split", rows=total)
+            big = number(big, ["hash", "bytes"], F.xxhash64("node"), ["node"], "place", sum(sizes[g] for g in split))
+            within = (F.col("place") >= F.col("from")) & (F.col("place") < F.col("upto"))
+            fixed = fixed.unionByName(big.join(parts, ["hash", "bytes"]).where(within).select(*columns, "shard"))
+    placed = shard_rows(rest.select(*columns), spokes, shards, fixed=fixed, taken=taken)
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
