@@ -30,13 +30,15 @@ def gather(df: DataFrame, features: str = "features", target: str = "target", mo
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
 
 
-def predict_batches(df: DataFrame, model, features: str = "features", columns: tuple[str, ...] = ("mean", "variance")) -> DataFrame:
-    """Adds what ``model.posterior`` gives, in Arrow batches on the executors."""
+def predict_batches(df: DataFrame, model, features: str = "features", columns: tuple[str, ...] = ("mean", "variance"), answer=None) -> DataFrame:
+    """Adds what ``model.posterior`` (or ``answer``) gives, in Arrow batches on the executors."""
+    answer = answer or model.posterior
+
     def run(frames):
         for pdf in frames:
             x = np.array(pdf[features].tolist(), float).reshape(len(pdf), -1)
             # slices: a model may look at all pairs of the rows it is given
-            parts = [model.posterior(x[i : i + SLICE]) for i in range(0, len(x), SLICE)]
+            parts = [answer(x[i : i + SLICE]) for i in range(0, len(x), SLICE)]
             yield pdf.assign(**{c: np.concatenate([p[k] for p in parts]) if parts else [] for k, c in enumerate(columns)})
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)

@@ -87,7 +87,7 @@ def series(t: Tables):
 
 
 def small(t: Tables, n: int = 100):
-    """Models of cubic cost train on the first n rows (the usual split) and predict all."""
+    """Models of cubic cost train on the first n rows by event_id (README, limits); prediction takes all."""
     return processes.gather(ordered.take(series(t), n, ["event_id"]))
 
 

@@ -256,22 +256,25 @@ def _(t: Tables):
     a, b = small(t)
     p = processes.GaussianProcess(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, b)
     w = processes.Warped.fit(p, lambda y: np.log1p(np.abs(y)), np.expm1, lambda y: 1 / (1 + np.abs(y)))
-    m, lo, hi = w.bars(a[:20])
-    return t.spark.createDataFrame([(i, bool(l <= v <= h)) for i, (v, l, h) in enumerate(zip(m, lo, hi, strict=True))], "i int, inside boolean")
+    out = processes.predict_batches(series(t), w, columns=("mid", "low", "high"), answer=w.bars)
+    return out.select("event_id", F.col("mid").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @query("M13_matrix_t")
 def _(t: Tables):
     a, b = small(t)
-    m, s, dof = processes.MatrixT(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, np.column_stack([b, 2 * b])).predict(a[:20])
-    return t.spark.createDataFrame([(i, round(float(r[0]), 6), round(float(r[1]), 6), int(dof)) for i, r in enumerate(m)], "i int, first double, second double, dof int")
+    p = processes.MatrixT(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, np.column_stack([b, 2 * b]))
+    dof = p.predict(a[:1])[2]
+    out = processes.predict_batches(series(t), p, columns=("first", "second"), answer=lambda z: tuple(p.predict(z)[0].T))
+    return rounded(out.select("event_id", "first", "second", F.lit(int(dof)).alias("dof")))
 
 
 @query("M14_skew_process")
 def _(t: Tables):
     a, b = small(t)
-    m, v, l, _ = processes.SkewProcess(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, b, skew=0.5).predict(a[:20])
-    return t.spark.createDataFrame([(i, *(round(float(q[i]), 6) for q in (m, v, l))) for i in range(20)], "i int, mean double, variance double, skew double")
+    p = processes.SkewProcess(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, b, skew=0.5)
+    out = processes.predict_batches(series(t), p, columns=("mean", "variance", "skew"), answer=lambda z: p.predict(z)[:3])
+    return rounded(out.select("event_id", "mean", "variance", "skew"))
 
 
 @query("M15_M25_mixture")
@@ -279,9 +282,12 @@ def _(t: Tables):
     a, b = small(t)
     ps = [processes.GaussianProcess(gram.kernel("rbf", b=s), gram.kernel("dirac", noise=0.5), a, b) for s in (0.3, 0.6, 1.2)]
     w = processes.energy_weights(np.array([p.energy() for p in ps]))
-    means, variances = (np.array(z) for z in zip(*(p.posterior(a[:20]) for p in ps), strict=True))
-    m, v = processes.mixture_moments(means, variances, w)
-    return t.spark.createDataFrame([(i, round(float(m[i]), 6), round(float(v[i]), 6)) for i in range(20)], "i int, mean double, variance double")
+
+    def answer(z):
+        means, variances = (np.array(v) for v in zip(*(p.posterior(z) for p in ps), strict=True))
+        return processes.mixture_moments(means, variances, w)
+
+    return rounded(processes.predict_batches(series(t), ps[0], answer=answer).select("event_id", "mean", "variance"))
 
 
 @query("M18_M19_losses_and_updates")
