@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.warc import PARTS
 from lodestone.session import durable
 
 SYMBOLS = "#$%&*|!"
@@ -43,6 +44,13 @@ def with_features(docs: DataFrame, text_col: str) -> DataFrame:
     return split.withColumns({f"__f_{k}": v for k, v in features(F.col(text_col)).items()}).drop("__words")
 
 
+def site_of(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a URL for ``classify``: the host in lower case, and the first part of the path; null without a host."""
+    host = F.lower(F.regexp_extract(F.trim(url), PARTS, 1))
+    first = F.regexp_extract(F.regexp_extract(F.trim(url), PARTS, 2), "^/([^/]*)", 1)
+    return F.when(host != "", host), F.when(host != "", first)
+
+
 @dataclass
 class Classifier:
     """Logistic regression on standardised features; without weights it knows nothing (0.5)."""
