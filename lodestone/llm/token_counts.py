@@ -2,148 +2,390 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from array import array
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tokenizing import WordBPE, loaded, read_vocabulary, slices, texts_of
+from lodestone.llm.tokenizing import PLAIN, ChunkTable, WordBPE, loaded, read_vocabulary, slices, texts_of
 
+END = "</w>"
+# What the pre-tokenizer takes as one piece after an apostrophe, and its white space.
+SHORT = frozenset({"s", "t", "m", "d"})
+LONG = {"r": "e", "v": "e", "l": "l"}
+CONTROLS = frozenset("\t\n\v\f\r\x85")
 
-WHITE = " \t\n\v\f\r"
 
+@lru_cache(1 << 16)
+def kind_of(c: str) -> str:
+    """L(etter), N(umber), S(pace) or P: how the pre-tokenizer sees a character."""
+    first = unicodedata.category(c)[0]
+    return "S" if c in CONTROLS or first == "Z" else first if first in "LN" else "P"
 
-def prefix_table(words: WordBPE, texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text the ends (code points) of its chunks and the token count up to each end.
 
-    count[k] = count[k-1] + tokens(chunk k): chunks don't interact, so this is the count of
-    the prefix that ends there, and of the white space that follows.
+@lru_cache(1)
+def joining() -> frozenset[str]:
+    """Characters that canonical composition may join to what stands before them."""
+    found = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for c in map(chr, range(0x110000)):
+        parts = unicodedata.decomposition(c).split()
+        if parts and parts[0][0] != "<":
+            # of a pair the second joins; a character that only decomposes is never left as it is
+            found.add(chr(int(parts[1], 16)) if len(parts) == 2 else c)
+            if unicodedata.normalize("NFC", c) != c:
+                found.add(c)
+    return frozenset(found)
+
+
+@lru_cache(1 << 16)
+def opens(c: str) -> bool:
+    """Whether nothing before ``c`` changes with it under canonical composition."""
+    return c < "\u0300" or (unicodedata.combining(c) == 0 and c not in joining())
+
+
+def _sizes(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """By their last two letters the lengths of tokens, the longest first; a single letter ends any."""
+    found: dict[str, set[int]] = {}
+    for s in table:
+        found.setdefault(s[-2:], {1}).add(len(s))
+    return {tail: tuple(sorted(n, reverse=True)) for tail, n in found.items()}
+
+
+class Merges:
+    """The merge rules of a byte-level BPE: which token may follow which, and counts of all prefixes.
+
+    A sequence of tokens is the encoding of its bytes exactly if each neighbouring pair is that
+    of the pair's own bytes. So the last token of a prefix is the one that ends there and fits
+    the last token of the prefix it leaves: a single one does, and counts follow by adding 1.
     """
-    _, sizes, distinct, codes, offsets, _ = words.encode(texts, single=True)
-    lengths = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)[codes]
-    ends, counts = np.cumsum(lengths + 1), np.cumsum(sizes)
-    at = [(a, b) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    base = lambda x, a: x[a - 1] if a else 0
-    return [ends[a:b] - base(ends, a) - 1 for a, b in at], [counts[a:b] - base(counts, a) for a, b in at]
+
+    def __init__(self, library):
+        model = json.loads(library.to_str())["model"]
+        self.ids: dict[str, int] = {}
+        number = lambda s: self.ids.setdefault(s, len(self.ids))
+        for s, _ in sorted(model["vocab"].items(), key=lambda kv: kv[1]):
+            number(s)
+        n = len(self.ids)
+        self.rank, self.left, self.right, self.joined = [-1] * n, list(range(n)), list(range(n)), {}
+        for r, m in enumerate(model["merges"]):
+            a, b = m if not isinstance(m, str) else m.split(" ")
+            u, v, t = number(a), number(b), number(a + b)
+            self.joined[u, v] = r
+            if self.rank[t] < 0:
+                self.rank[t], self.left[t], self.right[t] = r, u, v
+        self.open = {s: i for s, i in self.ids.items() if not s.endswith(END)}
+        self.closed = {s.removesuffix(END): i for s, i in self.ids.items() if s.endswith(END)}
+        self.sizes = {id(d): _sizes(d) for d in (self.open, self.closed)}
+        self.bytes = library.pre_tokenizer[1]
+        self.fits = lru_cache(1 << 18)(self._fits)
+
+    @lru_cache(1 << 16)  # noqa: B019  (lives as long as the worker)
+    def letters(self, c: str) -> str:
+        """The characters that stand for a character's bytes."""
+        return "".join(p for p, _ in self.bytes.pre_tokenize_str(c))
+
+    def _fits(self, u: int, t: int) -> bool:
+        """No merge reaches across the border of u and t at any time.
+
+        Backwards in time from the whole tokens: in each state the pair at the border would
+        have merged if its rule ranks before the merge that ended the state; of equal ranks
+        the one further left goes first.
+        """
+        rank, joined = self.rank, self.joined
+        before_u = before_t = 1 << 60
+        while True:
+            r = joined.get((u, t))
+            if r is not None and r < before_u and r <= before_t:
+                return False
+            if rank[u] < 0 and rank[t] < 0:
+                return True
+            if rank[u] > rank[t]:
+                before_u, u = rank[u], self.right[u]
+            else:
+                before_t, t = rank[t], self.left[t]
+
+
+class Run:
+    """Counts of a growing pre-token: ``add`` takes characters, ``count`` closes at any length reached."""
+
+    __slots__ = ("rules", "word", "last", "opened", "ends")
+
+    def __init__(self, rules: Merges):
+        self.rules, self.word, self.last, self.opened, self.ends = rules, "", [-1], [0], [0]
+
+    def cut(self, size: int) -> None:
+        """Back to the first ``size`` characters."""
+        if size + 1 < len(self.ends):
+            del self.ends[size + 1 :]
+            at = self.ends[-1]
+            self.word = self.word[:at]
+            del self.last[at + 1 :], self.opened[at + 1 :]
+
+    def _token(self, table: dict[str, int], i: int) -> tuple[int, int]:
+        """(id, letters) of the token of ``table`` that ends at letter i and fits what is before it."""
+        word, last, fits = self.word, self.last, self.rules.fits
+        for n in self.rules.sizes[id(table)].get(word[max(0, i - 2) : i], (1,)):
+            t = table.get(word[i - n : i]) if n <= i else None
+            if t is not None:
+                u = last[i - n]
+                if u < 0 or fits(u, t):
+                    return t, n
+        raise ValueError("no token ends here: the vocabulary lacks a byte")
+
+    def add(self, letters: str) -> None:
+        i = len(self.word)
+        self.word += letters
+        for i in range(i + 1, len(self.word) + 1):
+            t, n = self._token(self.rules.open, i)
+            self.last.append(t)
+            self.opened.append(self.opened[i - n] + 1)
+        self.ends.append(len(self.word))
+
+    def count(self) -> int:
+        """Tokens of the run as a whole pre-token."""
+        i = len(self.word)
+        return self.opened[i - self._token(self.rules.closed, i)[1]] + 1 if i else 0
+
+
+def run_counts(rules: Merges, run: str) -> list[int]:
+    """Token counts of the prefixes of one pre-token (normalised characters), the empty one left out."""
+    return next(all_run_counts(rules, [run]))[1]
+
+
+def all_run_counts(rules: Merges, runs: list[str]):
+    """(run, ``run_counts``) of all, in order: what a run shares with the one before is worked out once."""
+    state, before, counts = Run(rules), "", []
+    for run in sorted(runs):
+        same = len(commonprefix((before, run)))
+        state.cut(same)
+        del counts[same:]
+        for c in run[same:]:
+            state.add(rules.letters(c))
+            counts.append(state.count())
+        before = run
+        yield run, list(counts)
+
+
+class Reader:
+    """Token counts of a text without special strings, character by character.
+
+    The state after a character is (tokens of what is complete, the open run, its length, its
+    kind); a character that composition joins to those before it takes the state back to where
+    these began. A run of combining marks is normalised anew with each of them.
+    """
+
+    def __init__(self, rules: Merges):
+        self.rules = rules
+        self.state: tuple[int, Run | None, int, str] = (0, None, 0, "")
+        self.cluster, self.before = "", self.state
+
+    def add(self, c: str) -> int:
+        """Tokens of the text up to ``c``, as a text of its own."""
+        if opens(c):
+            self.cluster, self.before = c, self.state
+        else:
+            self.cluster += c
+            self.state = self.before
+        norm = self.cluster if c < "\u0300" else unicodedata.normalize("NFC", self.cluster)
+        for x in norm:
+            for y in x.lower():
+                self._step(y)
+        return self.total()
+
+    def total(self) -> int:
+        done, run, size, kind = self.state
+        if run is None:
+            return done
+        run.cut(size)
+        if kind == "'":  # an apostrophe and a letter that may yet become one piece
+            return done + sum(run_counts(self.rules, "'")) + run_counts(self.rules, run.word[1:])[-1]
+        return done + run.count()
+
+    def _fresh(self, done: int, c: str, kind: str) -> None:
+        run = Run(self.rules)
+        run.add(self.rules.letters(c))
+        self.state = (done, run, 1, kind)
+
+    def _step(self, c: str) -> None:
+        done, run, size, kind = self.state
+        if run is not None:
+            run.cut(size)
+        new = kind_of(c)
+        lone = kind == "P" and run.word == "'"
+        if kind == "'" and LONG[run.word[1:]] == c or lone and c in SHORT:
+            self.state = (done + run_counts(self.rules, run.word + c)[-1], None, 0, "")
+        elif lone and c in LONG:
+            pair = Run(self.rules)
+            pair.add("'")
+            pair.add(c)
+            self.state = (done, pair, 2, "'")
+        elif kind == "'":
+            letter = run.word[1:]
+            self._fresh(done + run_counts(self.rules, "'")[-1], letter, "L")
+            self._step(c)
+        elif new == kind:
+            if len(run.ends) != size + 1:
+                raise AssertionError("a run was not cut")
+            run.add(self.rules.letters(c))
+            self.state = (done, run, size + 1, kind)
+        elif new in "LP":
+            self._fresh(self.total(), c, new)
+        else:
+            self.state = (self.total() + (run_counts(self.rules, c)[-1] if new == "N" else 0), None, 0, "")
+
+
+class PrefixTable:
+    """chunk → token counts after each of its characters; each distinct chunk is worked out once.
+
+    A special string counts as one token once it is whole; till then its characters are text.
+    """
+
+    def __init__(self, words: WordBPE):
+        self.words, self.rules = words, Merges(words.library)
+        self.special = [t.content for t in words.library.get_added_tokens_decoder().values()]
+        self.runs: dict[str, list[int]] = {}
+        self.table = ChunkTable(self._encode)
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        """Counts of new chunks, the last of each held against the library's.
+
+        They can differ by characters that the library's Unicode tables know otherwise: then its
+        own counts of the prefixes are stored.
+        """
+        library, out = self.words.library, []
+        if len(self.runs) > self.table.limit:
+            self.runs = {}
+        plain = [m for m in map(PLAIN.fullmatch, new) if m]
+        fresh = {m[1].lower() for m in plain} | {m[2] for m in plain}
+        self.runs.update(all_run_counts(self.rules, [r for r in fresh if r not in self.runs]))
+        for chunk, whole in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            found = self.counts(chunk)
+            if found and found[-1] != len(whole.ids):
+                found = [len(library.encode(chunk[: n + 1], add_special_tokens=False).ids) for n in range(len(chunk))]
+            out.append(array("i", found).tobytes())
+        return out
+
+    def counts(self, chunk: str) -> list[int]:
+        plain = PLAIN.fullmatch(chunk)
+        if plain:
+            word, marks = self._run(plain[1].lower()), plain[2]
+            return [*word, *(word[-1] + n for n in self._run(marks))] if marks else word
+        out, at, base = [], 0, 0
+        while at < len(chunk):
+            found = [(i, s) for s in self.special if (i := chunk.find(s, at)) >= 0]
+            start, name = min(found) if found else (len(chunk), "")
+            reader, whole = Reader(self.rules), 0
+            stop = start + len(name)
+            for k in range(at, stop - bool(name)):
+                out.append(base + reader.add(chunk[k]))
+                if k + 1 == start:
+                    whole = out[-1] - base
+            if name:
+                base += whole + 1
+                out.append(base)
+            at = stop
+        return out
+
+    def _run(self, run: str) -> list[int]:
+        return self.runs.get(run) or run_counts(self.rules, run)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each character of the texts the tokens up to it in its text; and the texts' offsets.
+
+        White space stands for itself and adds nothing; chunks between it don't interact, so a
+        prefix has the tokens of its whole chunks and those of its last one so far.
+        """
+        distinct, codes, offsets = self.words.split(texts, True)
+        inside, sizes = self.table.gather(self.table.rows(distinct.to_pylist())[codes])
+        ends = np.cumsum(sizes)
+        last = np.concatenate([[0], inside])[np.where(sizes > 0, ends, 0)]
+        before = np.concatenate([[0], np.cumsum(last)])
+        # of a text's chunks all but the last are followed by one white space character
+        white = np.ones(len(codes), np.int64)
+        white[offsets[1:][np.diff(offsets) > 0] - 1] = 0
+        first = np.repeat(before[offsets[:-1]], np.diff(offsets))
+        whole = (before[1:] - first).astype(np.int32)
+        out = np.empty(int(sizes.sum() + white.sum()), np.int32)
+        at = np.cumsum(sizes + white) - white
+        held = np.ones(len(out), bool)
+        held[at[white > 0]] = False
+        out[held] = inside + np.repeat((before[:-1] - first).astype(np.int32), sizes)
+        out[~held] = whole[white > 0]
+        lengths = np.concatenate([[0], np.cumsum(sizes + white)])
+        return out, lengths[offsets]
 
 
 class PrefixCounts:
-    """Answers questions about one text from its stored table, without encoding it again."""
+    """Answers questions about one text from its stored counts; nothing is encoded again."""
 
-    def __init__(self, words: WordBPE, text: str, ends, counts):
-        self.words, self.text, self.ends, self.counts = words, text, np.asarray(ends), np.asarray(counts)
+    def __init__(self, counts):
+        self.counts = np.concatenate([[0], np.asarray(counts, np.int64)])
 
     def upto(self, n: int) -> int:
         """Tokens of ``text[:n]``."""
-        n = max(0, min(n, len(self.text)))
-        k = int(np.searchsorted(self.ends, n, "right"))
-        done = int(self.counts[k - 1]) if k else 0
-        start = int(self.ends[k - 1]) if k else 0
-        chunk = self.text[start : int(self.ends[k])] if n > start else ""
-        white = len(chunk) - len(chunk.lstrip(WHITE))
-        return done + (chunk_counts(self.words, chunk[white:])[n - start - white] if n - start > white else 0)
+        return int(self.counts[max(0, min(n, len(self.counts) - 1))])
 
     def longest(self, budget: int) -> int:
-        """The largest n such that ``text[:n]`` and every shorter prefix have at most ``budget`` tokens."""
-        k = int(np.searchsorted(self.counts, budget, "right"))
-        n = int(self.ends[k - 1]) if k else 0
-        while n < len(self.text) and self.upto(n + 1) <= budget:
-            n += 1
-        return n
+        """The largest n such that ``text[:n]`` has at most ``budget`` tokens.
 
+        Counts may fall as a prefix grows, so a shorter one may have more; below 0: 0.
+        """
+        fit = np.flatnonzero(self.counts <= budget)
+        return int(fit[-1]) if len(fit) else 0
 
-@lru_cache(4096)
-def chunk_counts(words: WordBPE, chunk: str) -> list[int]:
-    """Token counts of ``chunk[:0]``, ``chunk[:1]``, ... up to the whole chunk.
-
-    Plain words of ASCII letters take the recurrence of ``word_counts``; where special
-    strings, composition or several scripts may meet, each prefix is asked of the library once.
-    """
-    if chunk.isascii() and chunk.isalpha():
-        return word_counts(words, chunk.lower())
-    return [len(e.ids) for e in words.library.encode_batch_fast([chunk[:n] for n in range(len(chunk) + 1)], add_special_tokens=False)]
 
+def tokens_upto(counts: Column, n: Column | int) -> Column:
+    """``PrefixCounts.upto`` of a column of counts."""
+    n = F.lit(n) if isinstance(n, int) else n
+    size = F.size(counts)
+    return F.when((n <= 0) | (size <= 0), F.lit(0)).otherwise(F.element_at(counts, F.greatest(F.least(n, size), F.lit(1)).cast("int")))
 
-def word_counts(words: WordBPE, word: str) -> list[int]:
-    """count[i] = 1 + open[i - len(t)] for the last token t of prefix i.
 
-    ``open`` counts the prefix as it stands inside a longer word, ``last`` names its last
-    token. A token t may follow u exactly if merging u+t gives u, t back; just one t fits at
-    each length, since the merges of a text are unique. The end of a prefix takes t with the
-    word-end mark.
-    """
-    vocabulary, longest, fits = _rules(words)
-    last, opened, counts = [""], [0], [0]
-    for i in range(1, len(word) + 1):
-        for mark, size in (("</w>", counts), ("", opened)):
-            for length in range(min(i, longest), 0, -1):
-                t = word[i - length : i] + mark
-                if t in vocabulary and fits(last[i - length], t):
-                    size.append(opened[i - length] + 1)
-                    if not mark:
-                        last.append(word[i - length : i])
-                    break
-    return counts
-
-
-_RULES: dict[int, tuple] = {}
-
-
-def _rules(words: WordBPE) -> tuple:
-    if id(words) not in _RULES:
-        import json
-
-        model = json.loads(words.library.to_str())["model"]
-        vocabulary = set(model["vocab"])
-        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        rank = {m: r for r, m in enumerate(pairs)}
-
-        def merged(symbols: list[str]) -> list[str]:
-            while len(symbols) > 1:
-                r, at = min((rank.get((a, b), len(rank)), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
-                if r == len(rank):
-                    break
-                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-            return symbols
-
-        @lru_cache(1 << 18)
-        def fits(u: str, t: str) -> bool:
-            bare, mark = (t[:-4], "</w>") if t.endswith("</w>") else (t, "")
-            letters = list(u + bare)
-            letters[-1] += mark
-            return merged(letters) == [x for x in (u, t) if x]
-
-        _RULES[id(words)] = vocabulary, max(len(v.removesuffix("</w>")) for v in vocabulary), fits
-    return _RULES[id(words)]
+def longest_prefix(counts: Column, budget: int) -> Column:
+    """``PrefixCounts.longest`` of a column of counts."""
+    places = F.filter(F.transform(counts, lambda c, i: F.when(c <= budget, i + 1)), lambda i: i.isNotNull())
+    return F.coalesce(F.array_max(places), F.lit(0)).cast("long")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, with_table: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of each whole text; with the prefix table if asked for.
+    """(id, n_bytes, n_tokens, over_limit, fits) of each whole text; with all prefixes' counts if asked for.
 
-    ``ends`` and ``counts`` (arrays of long) are the table of ``prefix_table``: the exact count
-    at each chunk's end; ``PrefixCounts`` answers for the prefixes between. Null texts count as
-    empty (no bytes, no tokens); repeated or null ids come back row for row.
+    All is read off the table of ``PrefixTable``: ``n_tokens`` is its last entry, ``fits`` the
+    characters of the longest prefix of at most ``limit`` tokens, ``counts`` (array of int) the
+    tokens up to each character. Null texts count as empty (no bytes, no tokens); repeated or
+    null ids come back row for row; a text without white space is one chunk, whose counts take
+    time and memory in proportion to its length; an empty table gives no row.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def batches(frames):
-        words = loaded(WordBPE, content.value)
+        table = loaded(PrefixTable, content.value, lambda c: PrefixTable(loaded(WordBPE, c)))
         for whole in frames:
             for batch in slices(whole, 1):
                 texts = texts_of(batch, 1)
-                ends, counts = prefix_table(words, texts)
-                total = np.array([int(c[-1]) if len(c) else 0 for c in counts], np.int64)
-                columns = [batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(total), pa.array(total > limit)]
-                names = ["id", "n_bytes", "n_tokens", "over_limit"]
+                counts, offsets = table.of(texts)
+                some = offsets[1:] > offsets[:-1]
+                total = np.zeros(len(batch), np.int64)
+                total[some] = counts[offsets[1:][some] - 1]
+                # the last character up to which the budget holds
+                place = np.where(counts <= limit, np.arange(1, len(counts) + 1), 0)
+                fits = np.zeros(len(batch), np.int64)
+                if some.any():
+                    fits[some] = np.maximum(np.maximum.reduceat(place, offsets[:-1][some]) - offsets[:-1][some], 0)
+                columns = [batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(total), pa.array(total > limit), pa.array(fits)]
+                names = ["id", "n_bytes", "n_tokens", "over_limit", "fits"]
                 if with_table:
-                    at = np.concatenate([[0], np.cumsum([len(x) for x in ends])]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int64))) for x in (ends, counts)]
-                    names += ["ends", "counts"]
+                    columns.append(pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(counts)))
+                    names.append("counts")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", ends array<long>, counts array<long>" * with_table
+    schema = f"id {kind}, n_bytes long, n_tokens long, over_limit boolean, fits long" + ", counts array<int>" * with_table
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, schema).withColumnRenamed("id", id_col)

@@ -7,6 +7,8 @@ Arrow batches on the executors.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import re
@@ -65,6 +67,20 @@ class ChunkTable:
         return self.flat[np.repeat(self.starts[rows] - (ends - sizes), sizes) + np.arange(total)], sizes
 
 
+def give_back() -> None:
+    """An idle worker must not hold what its largest slice once took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc keeps and trims
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forget() -> None:
+    """A worker that turns to work without a tokenizer drops the tables of those before."""
+    if _LOADED:
+        _LOADED.clear()
+        give_back()
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about ``most`` bytes; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -76,8 +92,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         held += n
     if at < batch.num_rows:
         yield batch.slice(at)
-    # an idle worker must not hold what its largest slice once took
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: int) -> pa.Array:
@@ -190,11 +205,11 @@ class Pieces:
         return (" " if at and len(ids) and self.library.id_to_piece(int(ids[0])).startswith(MARK) else "") + self.library.decode(ids.tolist())
 
 
-def loaded(kind: type, content: bytes):
+def loaded(kind: type, content: bytes, make: Callable | None = None):
     """One tokenizer for each worker process and file; its chunk table lives on from task to task."""
     key = kind.__name__, hashlib.sha256(content).digest()
     if key not in _LOADED:
-        _LOADED[key] = kind(content)
+        _LOADED[key] = (make or kind)(content)
     return _LOADED[key]
 
 

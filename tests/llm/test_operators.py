@@ -268,31 +268,73 @@ def test_packing_corners(corner, nothing):
 # -- 7 -------------------------------------------------------------------------------------------
 
 
-def test_prefix_counts():
+MORE = [*ALPHABET, "'", "r", "e", "l", "v", "m", "d", "ᄀ", "ᅡ", "ᆨ", "각", "़", "क", "क़", "=", "==", "=====", "---", "<|", "|>", "</w>", "\u2009", "\u1680", "RE", "'LL"]
+
+
+def library_prefixes(words, text):
+    return [0, *(len(e.ids) for e in words.library.encode_batch([text[: n + 1] for n in range(len(text))], add_special_tokens=False))]
+
+
+def test_every_prefix_and_budget():
     words = tokenizing.WordBPE(tokenizing.read_vocabulary(WORDS))
-    for t in noise(120, 8, 30):
-        (ends,), (counts,) = token_counts.prefix_table(words, pa.array([t], pa.large_string()))
-        q = token_counts.PrefixCounts(words, t, ends, counts)
-        exact = [len(words.library.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
-        assert [q.upto(n) for n in range(len(t) + 1)] == exact
-    r = random.Random(2)
-    for _ in range(100):
-        w = "".join(r.choice("thtioneranoustreabcxyz") for _ in range(r.randrange(1, 40)))
-        assert token_counts.word_counts(words, w) == [len(e.ids) for e in words.library.encode_batch([w[:n] for n in range(len(w) + 1)], add_special_tokens=False)]
-    t = "plain words to count here"
-    (ends,), (counts,) = token_counts.prefix_table(words, pa.array([t], pa.large_string()))
-    n = token_counts.PrefixCounts(words, t, ends, counts).longest(3)
-    assert len(words.library.encode(t[:n], add_special_tokens=False).ids) == 3 < len(words.library.encode(t[: n + 1], add_special_tokens=False).ids)
+    table = token_counts.PrefixTable(words)
+    r = random.Random(8)
+    texts = ["".join(r.choice(MORE) for _ in range(r.randrange(30))) for _ in range(400)]
+    texts += ["".join(r.choice("thtioneranoustreabcxyz") for _ in range(r.randrange(60))) for _ in range(100)]
+    texts += ["understanding photosynthesis tokenization hello", "DON'T we'LL they'Re ''s 'round '", "=" * 70, "a" * 70, "漢字" * 30, "", " "]
+    counts, offsets = table.of(pa.array(texts, pa.large_string()))
+    for i, text in enumerate(texts):
+        exact = library_prefixes(words, text)
+        q = token_counts.PrefixCounts(counts[offsets[i] : offsets[i + 1]])
+        assert [q.upto(n) for n in range(len(text) + 1)] == exact, text
+        assert q.upto(-3) == 0 and q.upto(10**6) == exact[-1]
+        for budget in range(-1, max(exact) + 2):
+            assert q.longest(budget) == max((n for n, c in enumerate(exact) if c <= budget), default=0)
+
+
+def test_counts_are_worked_out_not_asked_for():
+    """What the dynamic program says of a chunk needs no correction by the library, and a chunk met again no work."""
+    words = tokenizing.WordBPE(tokenizing.read_vocabulary(WORDS))
+    table = token_counts.PrefixTable(words)
+    for text in noise(300, 3, 20):
+        for chunk in re.split(r"[ \t\n\v\f\r]", text):
+            assert not chunk or table.counts(chunk) == library_prefixes(words, chunk)[1:]
+    texts = pa.array(noise(50, 5), pa.large_string())
+    before = table.of(texts)
+    words.library = None
+    after = table.of(texts)
+    assert (before[0] == after[0]).all() and (before[1] == after[1]).all()
+
+
+def test_an_unbroken_text():
+    import time
+    import tracemalloc
+
+    table = token_counts.PrefixTable(tokenizing.WordBPE(tokenizing.read_vocabulary(WORDS)))
+    for text in ("漢字" * 10_000, "".join(random.Random(1).choices("abcdefgh", k=20_000)), "é1,'" * 5000):
+        began = time.process_time()
+        counts, _ = table.of(pa.array([text], pa.large_string()))
+        assert time.process_time() - began < 10 and len(counts) == len(text)
+        assert counts[-1] == len(table.words.library.encode(text, add_special_tokens=False).ids)
+    tracemalloc.start()
+    table.counts("字漢" * 10_000)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
 
 
 def test_token_counts(spark, corner, nothing):
-    library = Tokenizer.from_file(WORDS)
-    texts = noise(500, 6) + [None]
+    words = tokenizing.WordBPE(tokenizing.read_vocabulary(WORDS))
+    texts = noise(400, 6) + [None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in token_counts.count_tokens(df, WORDS, limit=20).collect():
-        n = len(library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids)
-        assert (r["n_tokens"], r["over_limit"], r["n_bytes"]) == (n, n > 20, len((texts[r["doc_id"]] or "").encode()))
-    assert token_counts.count_tokens(corner, WORDS, with_table=True).count() == 12
+    answers = token_counts.count_tokens(df, WORDS, limit=20, with_table=True).withColumns({"half": token_counts.tokens_upto(F.col("counts"), 7), "fit": token_counts.longest_prefix(F.col("counts"), 9)})
+    for r in answers.collect():
+        text = texts[r["doc_id"]] or ""
+        exact = library_prefixes(words, text)
+        longest = lambda b: max(n for n, c in enumerate(exact) if c <= b)
+        assert (r["n_tokens"], r["over_limit"], r["n_bytes"], r["fits"]) == (exact[-1], exact[-1] > 20, len(text.encode()), longest(20))
+        assert r["counts"] == exact[1:] and r["half"] == exact[min(7, len(text))] and r["fit"] == longest(9)
+    got = token_counts.count_tokens(corner, WORDS, with_table=True).collect()
+    assert len(got) == 12 and all(len(r["counts"]) == len(t or "") for r, (t,) in zip(got, corner.select("text").collect()))
     assert token_counts.count_tokens(nothing, WORDS).count() == 0
 
 
