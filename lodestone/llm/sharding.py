@@ -176,7 +176,7 @@ def shard_equal_texts(docs: DataFrame, shards: int = 8, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.unhex(F.md5(text)).alias("hash"), F.octet_length(text).alias("bytes"))
     base = durable(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
     total = base.count()
-    large = max(2, total // (4 * shards))
+    large = total // (4 * shards)
     # written out, so that the join has shuffles of its own, which Spark may split
     same = durable(base.groupBy("hash", "bytes").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "same", rows=total)
     spokes = base.join(same.where(F.col("n") <= large), ["hash", "bytes"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
