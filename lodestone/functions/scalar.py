@@ -41,7 +41,8 @@ def open_range(low, high, steps: int) -> Column:
 
 
 def log1p_exp(x: Column) -> Column:
-    return x + F.log1p(F.exp(-x))
+    """ln(1 + eˣ), without overflow on either side."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
 def square(x: Column) -> Column:

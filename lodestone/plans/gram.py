@@ -11,7 +11,12 @@ Gram = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)
+    """Squared distances; those that rounding could decide (equal points above all) are taken from the differences."""
+    size = (x**2).sum(1)[:, None] + (y**2).sum(1)[None]
+    out = np.maximum(size - 2 * x @ y.T, 0)
+    i, j = np.nonzero(out <= 1e-9 * size)
+    out[i, j] = ((x[i] - y[j]) ** 2).sum(1)
+    return out
 
 
 def manhattan(x, y):

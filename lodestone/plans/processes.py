@@ -23,10 +23,11 @@ SLICE = 256
 
 
 def gather(df: DataFrame, features: str = "features", target: str = "target", most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
-    """The training set as arrays; more than ``most`` rows are refused, never cut off."""
+    """The training set as arrays, ordered by its values; more than ``most`` rows are refused, never cut off."""
     rows = df.select(features, target).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} training rows")
+    rows.sort(key=lambda r: (r[0], r[1]))
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
 
 
@@ -270,6 +271,36 @@ def fit_by_group(df: DataFrame, group: str, make, features: str = "features", ta
     return df.select(group, features, target).groupBy(group).applyInPandas(run, f"{group} {kind}, n long, energy double")
 
 
+def by_group(df: DataFrame, group: str, order: list[str], run, schema: str, features: str = "features", target: str = "target", most: int = MOST) -> DataFrame:
+    """``run`` (x, y, rows in their order) → a pandas frame for each group; ``schema`` are its columns beside the group's.
+
+    All rows of a group train its model, in one task: a group of more than ``most`` rows is refused.
+    """
+    kind = dict(df.dtypes)[group]
+
+    def each(key, pdf):
+        if len(pdf) > most:
+            raise ValueError(f"group {key[0]} has {len(pdf)} rows, more than {most}")
+        pdf = pdf.sort_values(order, ignore_index=True)
+        out = run(np.array(pdf[features].tolist(), float).reshape(len(pdf), -1), pdf[target].to_numpy(float), pdf)
+        return out.assign(**{group: key[0]})[[group, *(c for c in out.columns if c != group)]]
+
+    return df.groupBy(group).applyInPandas(each, f"{group} {kind}, {schema}")
+
+
+def predict_by_group(df: DataFrame, group: str, order: list[str], make, columns: tuple[str, ...] = ("mean", "variance"), answer=None, features: str = "features", target: str = "target") -> DataFrame:
+    """Each group's model, trained on all its rows, answers for each of them: (group, order..., target, columns...)."""
+    kinds = dict(df.dtypes)
+
+    def run(x, y, pdf):
+        model = make(x, y)
+        say = answer or (lambda m, z: m.posterior(z))
+        return pd.DataFrame({c: pdf[c] for c in [*order, target]} | dict(zip(columns, say(model, x), strict=False)))
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*order, target]), *(f"{c} double" for c in columns)])
+    return by_group(df.select(group, *order, features, target), group, order, run, schema, features, target)
+
+
 def free_run(model, start: np.ndarray, steps: int) -> np.ndarray:
     """Recursive forecast: each prediction joins the lags, the oldest leaves (newest last)."""
     lags, out = np.asarray(start, float).copy(), []

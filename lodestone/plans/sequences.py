@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import scan, with_position
+from lodestone.session import durable
+
 
 def simulate(spark: SparkSession, n: int, level: float = 0.0, system: float = 1.0, noise: float = 1.0, seed: int = 0) -> DataFrame:
     """(time, state, observation) of a random walk with observation noise."""
-    w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    base = spark.range(n).select(F.col("id").cast("double").alias("time"), (F.randn(seed) * math.sqrt(system)).alias("step"), (F.randn(seed + 1) * math.sqrt(noise)).alias("e"))
-    return base.withColumn("state", level + F.sum("step").over(w)).select("time", "state", (F.col("state") + F.col("e")).alias("observation"))
+    # written out: draws must not change between the passes of the scan
+    base = durable(spark.range(n).select(F.col("id").cast("double").alias("time"), (F.randn(seed) * math.sqrt(system)).alias("step"), (F.randn(seed + 1) * math.sqrt(noise)).alias("e")), "draws")
+    walk = scan(base, "step", ["time"], out="walk")
+    return walk.select("time", (level + F.col("walk")).alias("state"), (level + F.col("walk") + F.col("e")).alias("observation"))
 
 
 def kalman(df: DataFrame, by: list[str], time: list[str], value: str, system: float, noise: float, mean: float = 0.0, variance: float = 1.0) -> DataFrame:
@@ -35,20 +39,54 @@ def kalman(df: DataFrame, by: list[str], time: list[str], value: str, system: fl
     return rows.select(*by, F.size("rows").alias("n"), F.aggregate("rows", start, step).alias("s")).select(*by, "n", F.col("s.m").alias("mean"), F.col("s.c").alias("variance"), F.col("s.l").alias("log_likelihood"))
 
 
-def kalman_path(df: DataFrame, by: str, time: str, value: str, system: float, noise: float, mean: float = 0.0, variance: float = 1.0) -> DataFrame:
-    """The filtered mean and variance after each observation: (by, time, mean, variance)."""
-    kinds = dict(df.dtypes)
+def kalman_path(df: DataFrame, by: list[str], order: list[str], value: str, system: float, noise: float, mean: float = 0.0, variance: float = 1.0, block: int = 512) -> DataFrame:
+    """The filtered mean and variance after each observation: (by, order..., mean, variance).
 
-    def run(key, pdf):
-        m, c, out = mean, variance, []
-        for v in pdf.sort_values(time)[value]:
-            p = c + system
-            gain = p / (p + noise)
-            m, c = m + gain * (v - m), gain * noise
-            out.append((m, c))
-        return pd.DataFrame({by: key[0], time: pdf.sort_values(time)[time].to_numpy(), "mean": [a for a, _ in out], "variance": [b for _, b in out]})
-
-    return df.select(by, time, value).dropna().groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {time} {kinds[time]}, mean double, variance double")
+    The variance after k steps doesn't depend on the data: it is worked out once, until it stands
+    still. A step is then m → a·m + b, and such steps compose: runs of ``block`` rows are one such
+    map each, and the maps before a run are composed by doubling, on a row a run. So a long
+    series is many tasks.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("__v"))
+    gains, c = [], variance
+    while len(gains) < 10_000:
+        p = c + system
+        gains.append((p / (p + noise), p / (p + noise) * noise))
+        if len(gains) > 1 and abs(gains[-1][1] - c) <= 1e-15 * abs(c):
+            break
+        c = gains[-1][1]
+    known = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(v).alias("c")) for g, v in gains))
+    numbered = _numbered_within(rows, by, order, block)
+    step = F.element_at(known, F.least(F.col("__k") + 1, F.lit(len(gains))).cast("int"))
+    steps = numbered.withColumns({"__g": step["g"], "variance": step["c"], "__run": F.floor(F.col("__k") / block)})
+    keys = [*by, "__run"]
+    ordered = F.array_sort(F.collect_list(F.struct("__k", "__g", "__v", "variance", *order)))
+    runs = durable(steps.groupBy(*keys).agg(ordered.alias("__rows")), "runs")
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    then = lambda s, r: F.struct((s["a"] * (1 - r["__g"])).alias("a"), (s["b"] * (1 - r["__g"]) + r["__g"] * r["__v"]).alias("b"))
+    whole = runs.select(*keys, F.aggregate("__rows", start, then).alias("m"))
+    most = whole.agg(F.max("__run")).first()[0] or 0
+    at = Window.partitionBy(*by).orderBy("__run")  # a row a run
+    for turn in range(int(most).bit_length()):
+        before = F.lag("m", 1 << turn).over(at)
+        whole = whole.withColumn("m", F.when(before.isNull(), F.col("m")).otherwise(F.struct((F.col("m.a") * before["a"]).alias("a"), (F.col("m.a") * before["b"] + F.col("m.b")).alias("b"))))
+    past = F.lag("m", 1).over(at)
+    into = whole.select(*keys, F.coalesce(past["a"] * F.lit(mean) + past["b"], F.lit(mean)).alias("__m"))
+    joined = runs.join(into, keys)
+    path = F.aggregate(
+        "__rows",
+        F.struct(F.col("__m").alias("m"), F.array().cast("array<double>").alias("path")),
+        lambda s, r: F.struct((s["m"] + r["__g"] * (r["__v"] - s["m"])).alias("m"), F.concat(s["path"], F.array(s["m"] + r["__g"] * (r["__v"] - s["m"]))).alias("path")),
+    )["path"]
+    out = joined.select(*by, F.explode(F.arrays_zip(F.col("__rows").alias("r"), path.alias("p"))).alias("z"))
+    return out.select(*by, *(F.col(f"z.r.{c}").alias(c) for c in order), F.col("z.p").alias("mean"), F.col("z.r.variance").alias("variance"))
+
+
+def _numbered_within(df: DataFrame, by: list[str], order: list[str], block: int) -> DataFrame:
+    """``__k`` from 0 in each group's order, by one range shuffle: a group's place less that of its first row."""
+    placed = durable(with_position(df, [*by, *order], "__pos"), "placed")
+    first = placed.groupBy(*by).agg(F.min("__pos").alias("__first"))
+    return placed.join(first, by).withColumn("__k", F.col("__pos") - F.col("__first")).drop("__pos", "__first")
 
 
 def metropolis(spark: SparkSession, log_density, start: list[float], steps: int, chains: int = 4, width: float = 1.0, seed: int = 0, adaptive: bool = False) -> DataFrame:

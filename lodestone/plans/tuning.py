@@ -42,6 +42,23 @@ def landscape(spark: SparkSession, configs: list[dict[str, float]], energy: Ener
     return rows.mapInPandas(run, "i int, config map<string,double>, energy double")
 
 
+def landscape_by_group(df: DataFrame, group: str, configs: list[dict[str, float]], energy, features: str = "features", target: str = "target") -> DataFrame:
+    """(i, config, energy): of each configuration the sum over the groups of ``energy`` (config, x, y).
+
+    All rows count: a group's models are trained in its task, and the sums are combined before they move.
+    """
+    spark = df.sparkSession
+
+    def run(_, pdf):
+        pdf = pdf.sort_values(target, ignore_index=True)
+        x, y = np.array(pdf[features].tolist(), float).reshape(len(pdf), -1), pdf[target].to_numpy(float)
+        return pd.DataFrame({"i": range(len(configs)), "energy": [float(energy(c, x, y)) for c in configs]})
+
+    sums = df.select(group, features, target).groupBy(group).applyInPandas(run, "i int, energy double").groupBy("i").agg(F.sum("energy").alias("energy"))
+    names = spark.createDataFrame([(i, c) for i, c in enumerate(configs)], "i int, config map<string,double>")
+    return names.join(sums, "i").select("i", "config", "energy")
+
+
 def best(found: DataFrame) -> tuple[dict[str, float], float]:
     """The least energy; of equal ones the configuration that came last."""
     r = found.agg(F.min_by(F.struct("config", "energy"), F.struct("energy", (-F.col("i")).alias("i"))).alias("b")).first()["b"]

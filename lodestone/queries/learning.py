@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions import distributions as dist
@@ -12,6 +13,7 @@ from lodestone.operators import metrics, ordered, pipes, scalers
 from lodestone.plans import fields, glm, gram, nets, processes, prototypes, sequences, tuning
 from lodestone.queries.registry import Tables, query
 from lodestone.queries.statistics import rounded
+from lodestone.session import durable, new_path
 from lodestone.streaming import tables as streams
 
 FEATURES = ["l_quantity", "l_discount"]
@@ -83,41 +85,46 @@ def _(t: Tables):
 
 def series(t: Tables):
     rows = ordered.delta_features(t.events, "value", 2, 0, ["ts", "event_id"], ["user_id"])
-    return rows.select("event_id", "user_id", F.transform("features", lambda v: v / 100).alias("features"), (F.col("target") / 100).alias("target"))
+    return rows.select("event_id", "user_id", "ts", F.transform("features", lambda v: v / 100).alias("features"), (F.col("target") / 100).alias("target"))
 
 
-def small(t: Tables, n: int = 100):
-    """Models of cubic cost train on the first n rows by event_id (README, limits); prediction takes all."""
-    return processes.gather(ordered.take(series(t), n, ["event_id"]))
+BY = ("user_id", ["event_id"])
+
+
+def answers(t: Tables, make, columns, answer=None):
+    """A model a user, trained on all its rows, answers for each of them; every user of the table has one."""
+    return rounded(processes.predict_by_group(series(t), *BY, make, columns, answer).select("event_id", *columns))
+
+
+def svm(width: float):
+    return lambda x, y: processes.LeastSquaresSVM(gram.kernel("rbf", b=width), x, y, 2.5)
 
 
 @query("M8_ls_svm")
 def _(t: Tables):
-    x, y = small(t)
-    m = processes.LeastSquaresSVM(gram.kernel("rbf", b=0.5), x, y, 2.5)
-    return rounded(processes.predict_batches(series(t), m, columns=("score",)).select("event_id", "score"))
+    return answers(t, svm(0.5), ("score",))
 
 
 @query("M9_committee")
 def _(t: Tables):
-    x, y = small(t)
-    out = series(t)
+    out = None
     names = []
     for b in (0.3, 0.6, 1.2):
         names.append(f"s{len(names)}")
-        out = processes.predict_batches(out, processes.LeastSquaresSVM(gram.kernel("rbf", b=b), x, y, 2.5), columns=(names[-1],))
+        one = processes.predict_by_group(series(t), *BY, svm(b), (names[-1],))
+        out = one if out is None else out.join(one.select("event_id", names[-1]), "event_id")
+    out = durable(out, "committee")
     w = processes.committee_weights_of(out, names, "target")
-    return rounded(out.select("event_id", sum(F.col(n) * float(v) for n, v in zip(names, w, strict=True)).alias("score")))
+    return rounded(out.select("event_id", sum(F.col(n) * float(v) for n, v in zip(names, w, strict=True)).alias("score")), 5)
 
 
-def gp(t: Tables, kind=processes.GaussianProcess):
-    x, y = small(t)
+def gp(x, y, kind=processes.GaussianProcess):
     return kind(gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5)), gram.kernel("dirac", noise=0.5), x, y)
 
 
 @query("M10_gaussian_process")
 def _(t: Tables):
-    return rounded(processes.predict_batches(series(t), gp(t)).select("event_id", "mean", "variance"))
+    return answers(t, gp, ("mean", "variance"))
 
 
 @query("M10_process_by_group")
@@ -128,14 +135,13 @@ def _(t: Tables):
 
 @query("M13_student_process")
 def _(t: Tables):
-    return rounded(processes.predict_batches(series(t), gp(t, processes.StudentProcess)).select("event_id", "mean", "variance"))
+    return answers(t, lambda x, y: gp(x, y, processes.StudentProcess), ("mean", "variance"))
 
 
 @query("M12_laplace_classifier")
 def _(t: Tables):
-    x, y = small(t)
-    m = processes.LaplaceClassifier(gram.kernel("rbf", b=0.5), x, np.where(y > np.median(y), 1.0, -1.0))
-    return rounded(processes.predict_batches(series(t), m, columns=("probability", "variance")).select("event_id", "probability"))
+    make = lambda x, y: processes.LaplaceClassifier(gram.kernel("rbf", b=0.5), x, np.where(y > np.median(y), 1.0, -1.0))
+    return answers(t, make, ("probability",))
 
 
 @query("M16_network")
@@ -144,14 +150,14 @@ def _(t: Tables):
     return rounded(net.predict(series(t)).select("event_id", F.col("prediction")[0].alias("score")))
 
 
-@query("M21_grid_search")
-def _(t: Tables):
-    x, y = small(t, 100)
+def process_energy(c, x, y):
+    return processes.GaussianProcess(gram.kernel("rbf", b=c["b"]), gram.kernel("dirac", noise=c.get("noise", 0.5)), x, y).energy()
 
-    def energy(c):
-        return processes.GaussianProcess(gram.kernel("rbf", b=c["b"]), gram.kernel("dirac", noise=c["noise"]), x, y).energy()
 
-    return rounded(tuning.landscape(t.spark, tuning.grid({"b": 1.5, "noise": 1.5}, 0.3, 3), energy).select(F.col("config")["b"].alias("b"), F.col("config")["noise"].alias("noise"), "energy"), 4)
+@query("M21_grid_search")
+def _(t: Tables):
+    found = tuning.landscape_by_group(series(t), "user_id", tuning.grid({"b": 1.5, "noise": 1.5}, 0.3, 3), process_energy)
+    return rounded(found.select(F.col("config")["b"].alias("b"), F.col("config")["noise"].alias("noise"), "energy"), 3)
 
 
 @query("M22_M24_searches")
@@ -167,7 +173,7 @@ def _(t: Tables):
 
 @query("M28_prototypes")
 def _(t: Tables):
-    rows = prototypes.select(t.embeddings.select(F.slice("embedding", 1, 4).alias("e")), "e", 10, tries=30)
+    rows = prototypes.select(t.embeddings, "embedding", 10)
     return t.spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "i int, x array<double>")
 
 
@@ -180,9 +186,12 @@ def _(t: Tables):
 
 @query("W11_free_run")
 def _(t: Tables):
-    x, y = small(t)
-    path = processes.free_run(gp(t), x[-1], 5)
-    return t.spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(path)], "step int, value double")
+    def run(x, y, pdf):
+        path = processes.free_run(gp(x, y), np.r_[x[-1, 1:], y[-1]], 5)
+        return pd.DataFrame({"step": range(1, 6), "value": path})
+
+    rows = series(t).select("user_id", "event_id", "ts", "features", "target")
+    return rounded(processes.by_group(rows, "user_id", ["ts", "event_id"], run, "step int, value double"))
 
 
 #: The first-order filter, written as a recursion over each user's numbered events.
@@ -259,11 +268,14 @@ def _(t: Tables):
 
 
 def stream(t: Tables):
-    """The events table as a stream of files (its path is a file: the stream reads its copy)."""
-    from lodestone.session import new_path
-
+    """The events as a stream of three files that follow each other in time, so that each user's rows come in several batches."""
     path = new_path(t.spark, "stream")
-    t.events.repartition(3, "user_id").write.parquet(path)
+    cuts = t.events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.when(at <= cuts[0], 0).when(at <= cuts[1], 1).otherwise(2)
+    for k in range(3):
+        # written one after another: the stream takes files by their times
+        t.events.where(part == k).coalesce(1).write.mode("append").parquet(path)
     return streams.read(t.spark, path, t.events)
 
 
@@ -280,18 +292,20 @@ def _(t: Tables):
 @query("X5_streaming_kalman", KALMAN.replace("value / 100 AS v", "value AS v"))
 def _(t: Tables):
     s = stream(t)
-    done = streams.drain(streams.kalman(s, "user_id", "ts", "value", 0.1, 0.5), name(), "update")
+    done = streams.drain(streams.kalman(s, "user_id", ["ts", "event_id"], "value", 0.1, 0.5), name(), "update")
     last = done.groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "variance"), "n").alias("l"))
     return rounded(last.select("user_id", "l.n", "l.mean", "l.variance"))
 
 
-@query("X3_streaming_lags", "SELECT user_id, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events) WHERE r > 2 GROUP BY user_id")
+@query("X3_streaming_lags", """
+    SELECT event_id, user_id, [a, b] AS features, value AS target FROM (
+        SELECT event_id, user_id, value, lag(value, 2) OVER w AS a, lag(value) OVER w AS b, row_number() OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE r > 2""")
 def _(t: Tables):
-    return streams.drain(streams.lag_features(stream(t), "user_id", "ts", "value", 2), name(), "append").groupBy("user_id").agg(F.count("*").alias("n"))
+    return streams.drain(streams.lag_features(stream(t), "user_id", ["ts", "event_id"], "value", 2), name(), "append").drop("ts")
 
 
-@query("EX6_autoregression", "SELECT count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r > 2")
+@query("EX6_autoregression")
 def _(t: Tables):
     rows = ordered.delta_features(t.events, "value", 2, 0, ["ts", "event_id"], ["user_id"])
     m = glm.ridge(rows, [F.col("features")[0], F.col("features")[1]], F.col("target"))
-    return metrics.regression_metrics(m.predict(rows).select("score", F.col("target").alias("label"))).select("n")
+    return rounded(metrics.regression_metrics(m.predict(rows).select("score", F.col("target").alias("label"))), 4)

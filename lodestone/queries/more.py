@@ -10,10 +10,10 @@ from lodestone.functions import bases, kernels, scalar
 from lodestone.functions import distributions as dist
 from lodestone.operators import linalg, metrics, ordered, pipes, scalers, stats
 from lodestone.plans import glm, gram, processes, sequences, tuning
-from lodestone.queries.learning import quality, series, small
+from lodestone.queries.learning import KALMAN, answers, process_energy, quality, series
 from lodestone.queries.library import X, register, x
 from lodestone.queries.registry import Tables, query
-from lodestone.queries.statistics import rounded, scores
+from lodestone.queries.statistics import METRICS, rounded, rounded_metrics, scores
 from lodestone.session import new_path
 from lodestone.sources import binary, feeds, text
 
@@ -56,10 +56,10 @@ def _(t: Tables):
     return text.lines(t.spark, path).select("value")
 
 
-@query("S16_feed", "SELECT count(*) AS n, CAST(ceil(count(*) / 10) AS BIGINT) AS batches FROM nation")
+@query("S16_feed", "SELECT n_name, n_regionkey, CAST(least(10, 25 - 10 * floor(b / 10)) AS BIGINT) AS size FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS b FROM nation)")
 def _(t: Tables):
-    sizes = [len(b) for b in feeds.feed(t.nation, 10)]
-    return t.spark.createDataFrame([(sum(sizes), len(sizes))], "n long, batches long")
+    rows = [(*r, len(b)) for b in feeds.feed(t.nation.orderBy("n_nationkey").select("n_name", "n_regionkey"), 10) for r in b]
+    return t.spark.createDataFrame(rows, "n_name string, n_regionkey int, size long")
 
 
 @query("S18_shuffle", "SELECT n_nationkey FROM nation")
@@ -76,11 +76,11 @@ def _(t: Tables):
     return x(t).select("event_id", p(F.col("x")).alias("phi"))
 
 
-@query("P7_side_effect", "SELECT count(*) AS n FROM nation")
+@query("P7_side_effect", "SELECT n_name, (SELECT sum(n_nationkey) FROM nation)::BIGINT AS seen FROM nation")
 def _(t: Tables):
     seen = []
-    out = pipes.side_effect(lambda d: seen.append(d.count()))(t.nation)
-    return out.agg(F.count("*").alias("n")).where(F.col("n") == seen[0])
+    out = pipes.side_effect(lambda d: seen.append(d.agg(F.sum("n_nationkey")).first()[0]))(t.nation)
+    return out.select("n_name", F.lit(seen[0]).cast("long").alias("seen"))
 
 
 @query("P23_duplicate", "SELECT upper(r_name) AS v FROM region UNION ALL SELECT upper(n_name) FROM nation")
@@ -94,11 +94,16 @@ def _(t: Tables):
     return pipes.flat_mapped(F.array(F.lit(0), F.lit(1), F.lit(2)), "i")(t.nation.select("n_nationkey"))
 
 
-@query("P31_model_pipe", "SELECT count(*) AS n FROM lineitem")
+RIDGE = """
+    WITH g AS (SELECT sum(x * x) + 1 AS a, sum(x) AS b, count(*) + 1 AS c, sum(x * y) AS p, sum(y) AS q FROM (SELECT l_quantity / 50 AS x, l_extendedprice AS y FROM lineitem))
+    SELECT l_orderkey, l_linenumber, round((c * p - b * q) / (a * c - b * b) * l_quantity / 50 + (a * q - b * p) / (a * c - b * b), 2) AS score FROM lineitem, g"""
+
+
+@query("P31_model_pipe", RIDGE)
 def _(t: Tables):
     fit = lambda d: glm.ridge(d, [F.col("x")], F.col("l_extendedprice"))
     m = pipes.ModelPipe(fit, pipes.mapped(x=F.col("l_quantity") / 50), lambda d: d.where("score is not null")).train(t.lineitem)
-    return m.predict(t.lineitem).agg(F.count("*").alias("n"))
+    return rounded(m.predict(t.lineitem).select("l_orderkey", "l_linenumber", "score"), 2)
 
 
 # -- aggregates, metrics -------------------------------------------------------------------------------
@@ -127,9 +132,9 @@ def _(t: Tables):
     return rounded(t.events.agg(F.avg(-p).alias("entropy"), F.avg(p - q).alias("kl")), 5)
 
 
-@query("E23_task_dispatch", "SELECT count(*) AS n FROM lineitem")
+@query("E23_task_dispatch", METRICS)
 def _(t: Tables):
-    return metrics.metrics_for("regression")(scores(t)).select("n")
+    return rounded_metrics(metrics.metrics_for("regression")(scores(t)))
 
 
 @query("W10_neighbour_areas", "SELECT round(sum((l_quantity - p) * (c + n) / 2), 2) AS area FROM (SELECT l_quantity, n, lag(l_quantity) OVER (ORDER BY l_quantity) AS p, lag(n) OVER (ORDER BY l_quantity) AS c FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1))")
@@ -144,9 +149,14 @@ def _(t: Tables):
     return t.events.select("event_id", F.ntile(4).over(w).cast("long").alias("quarter"), F.dense_rank().over(w).cast("long").alias("place"))
 
 
-@query("W13_kalman_path", "SELECT count(*) AS n FROM events")
+PATH = KALMAN.replace("value / 100 AS v", "event_id, value / 100 AS v")
+PATH = PATH[: PATH.rindex("SELECT user_id")] + "SELECT event_id, user_id, round(m, 6) AS mean, round(c, 6) AS variance FROM f JOIN e USING (user_id, k)"
+
+
+@query("W13_kalman_path", PATH)
 def _(t: Tables):
-    return sequences.kalman_path(t.events, "user_id", "ts", "value", 0.1, 0.5).agg(F.count("mean").alias("n"))
+    e = t.events.withColumn("v", F.col("value") / 100)
+    return rounded(sequences.kalman_path(e, ["user_id"], ["ts", "event_id"], "v", 0.1, 0.5, block=16).drop("ts"))
 
 
 @query("U4_scaler_concatenation", "SELECT event_id, round((value - 1) / 2, 6) AS a, round((value - 3) / 4, 6) AS b FROM events")
@@ -168,9 +178,9 @@ def _(t: Tables):
     return t.spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "i int, v double")
 
 
-@query("L16_persist", "SELECT count(*) AS n FROM nation")
+@query("L16_persist", "SELECT n_regionkey, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
 def _(t: Tables):
-    return linalg.persist(t.nation).agg(F.count("*").alias("n"))
+    return linalg.persist(t.nation).groupBy("n_regionkey").agg(F.sum("n_nationkey").alias("total"))
 
 
 # -- kernels, bases ---------------------------------------------------------------------------------------
@@ -205,16 +215,19 @@ def _(t: Tables):
     return t.nation.select("n_nationkey", kernels.graph(g)(F.col("n_regionkey"), F.col("n_nationkey") % 5).alias("k"))
 
 
-@query("N28_nystroem", "SELECT count(*) AS n, CAST(5 AS BIGINT) AS size FROM embeddings")
+@query("N28_nystroem", """
+    SELECT vec_id, round(exp(-list_sum([pow(z[1] - z[2], 2) for z in list_zip(CAST(embedding AS DOUBLE[]), o)]) / 128), 6) AS k
+    FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS o FROM embeddings ORDER BY vec_id LIMIT 1)""")
 def _(t: Tables):
-    """Features kᵀV/√λ of landmarks (the first vectors), as array expressions."""
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 4)
+    """Features kᵀV/√λ of five landmarks, as array expressions: a vector's and a landmark's give their kernel."""
+    e = F.col("embedding").cast("array<double>")
     marks = [r["v"] for r in ordered.take(t.embeddings, 5, ["vec_id"]).select(e.alias("v")).collect()]
-    k = gram.kernel("rbf", b=2.0)(np.array(marks), np.array(marks))
+    k = gram.kernel("rbf", b=8.0)(np.array(marks), np.array(marks))
     values, vectors = np.linalg.eigh(k)
-    row = F.array(*(kernels.rbf(2.0)(e, F.array(*map(F.lit, m))) for m in marks))
-    phi = scalers.linear((vectors / np.sqrt(np.maximum(values, 1e-12))).T, row)
-    return t.embeddings.select(phi.alias("phi")).agg(F.count("*").alias("n"), F.max(F.size("phi")).cast("long").alias("size"))
+    maps = (vectors / np.sqrt(np.maximum(values, 1e-12))).T
+    row = F.array(*(kernels.rbf(8.0)(e, F.array(*map(F.lit, m))) for m in marks))
+    first = maps @ k[0]
+    return rounded(t.embeddings.select("vec_id", F.aggregate(F.zip_with(scalers.linear(maps, row), F.array(*(F.lit(float(v)) for v in first)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("k")))
 
 
 @query("C3_univariate_scaler", "SELECT event_id, round((value - 5) / 3, 6) AS z FROM events")
@@ -245,49 +258,46 @@ def _(t: Tables):
 # -- models ------------------------------------------------------------------------------------------------
 
 
-@query("M7_model_by_name", "SELECT count(*) AS n FROM lineitem")
+@query("M7_model_by_name", RIDGE.replace("l_quantity / 50", "l_quantity"))
 def _(t: Tables):
     m = glm.model_for("regression")(t.lineitem, [F.col("l_quantity")], F.col("l_extendedprice"))
-    return m.predict(t.lineitem).agg(F.count("score").alias("n"))
+    return rounded(m.predict(t.lineitem).select("l_orderkey", "l_linenumber", "score"), 2)
+
+
+def rbf_process(x, y, width=0.5, kind=processes.GaussianProcess, **more):
+    return kind(gram.kernel("rbf", b=width), gram.kernel("dirac", noise=0.5), x, y, **more)
 
 
 @query("M11_warped_process")
 def _(t: Tables):
-    a, b = small(t)
-    p = processes.GaussianProcess(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, b)
-    w = processes.Warped.fit(p, lambda y: np.log1p(np.abs(y)), np.expm1, lambda y: 1 / (1 + np.abs(y)))
-    out = processes.predict_batches(series(t), w, columns=("mid", "low", "high"), answer=w.bars)
-    return out.select("event_id", F.col("mid").between(F.col("low"), F.col("high")).alias("inside"))
+    """Targets warped by ln(1 + |y|): the middle and the bars come back in the targets' own units."""
+    make = lambda x, y: processes.Warped.fit(rbf_process(x, y), lambda v: np.log1p(np.abs(v)), np.expm1, lambda v: 1 / (1 + np.abs(v)))
+    return answers(t, make, ("mid", "low", "high"), lambda m, z: m.bars(z))
 
 
 @query("M13_matrix_t")
 def _(t: Tables):
-    a, b = small(t)
-    p = processes.MatrixT(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, np.column_stack([b, 2 * b]))
-    dof = p.predict(a[:1])[2]
-    out = processes.predict_batches(series(t), p, columns=("first", "second"), answer=lambda z: tuple(p.predict(z)[0].T))
-    return rounded(out.select("event_id", "first", "second", F.lit(int(dof)).alias("dof")))
+    make = lambda x, y: processes.MatrixT(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), x, np.column_stack([y, 2 * y]))
+
+    def say(m, z):
+        means, _, dof = m.predict(z)
+        return *means.T, np.full(len(z), float(dof))
+
+    return answers(t, make, ("first", "second", "dof"), say)
 
 
 @query("M14_skew_process")
 def _(t: Tables):
-    a, b = small(t)
-    p = processes.SkewProcess(gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5), a, b, skew=0.5)
-    out = processes.predict_batches(series(t), p, columns=("mean", "variance", "skew"), answer=lambda z: p.predict(z)[:3])
-    return rounded(out.select("event_id", "mean", "variance", "skew"))
+    return answers(t, lambda x, y: rbf_process(x, y, kind=processes.SkewProcess, skew=0.5), ("mean", "variance", "skew"), lambda m, z: m.predict(z)[:3])
 
 
 @query("M15_M25_mixture")
 def _(t: Tables):
-    a, b = small(t)
-    ps = [processes.GaussianProcess(gram.kernel("rbf", b=s), gram.kernel("dirac", noise=0.5), a, b) for s in (0.3, 0.6, 1.2)]
-    w = processes.energy_weights(np.array([p.energy() for p in ps]))
-
-    def answer(z):
+    def say(ps, z):
         means, variances = (np.array(v) for v in zip(*(p.posterior(z) for p in ps), strict=True))
-        return processes.mixture_moments(means, variances, w)
+        return processes.mixture_moments(means, variances, processes.energy_weights(np.array([p.energy() for p in ps])))
 
-    return rounded(processes.predict_batches(series(t), ps[0], answer=answer).select("event_id", "mean", "variance"))
+    return answers(t, lambda x, y: [rbf_process(x, y, w) for w in (0.3, 0.6, 1.2)], ("mean", "variance"), say)
 
 
 @query("M18_M19_losses_and_updates")
@@ -302,13 +312,8 @@ def _(t: Tables):
 
 @query("M26_tuned_process")
 def _(t: Tables):
-    a, b = small(t)
-
-    def energy(c):
-        return processes.GaussianProcess(gram.kernel("rbf", b=c["b"]), gram.kernel("dirac", noise=0.5), a, b).energy()
-
-    c, e = tuning.grid_search(t.spark, {"b": 2.0}, energy, tuning.Tuner(step=0.4, size=4))
-    return t.spark.createDataFrame([(round(c["b"], 6), round(e, 4))], "b double, energy double")
+    c, e = tuning.best(tuning.landscape_by_group(series(t), "user_id", tuning.grid({"b": 2.0}, 0.4, 4), process_energy))
+    return t.spark.createDataFrame([(round(c["b"], 6), round(e, 3))], "b double, energy double")
 
 
 @query("EX1_process_regression")

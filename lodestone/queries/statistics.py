@@ -122,15 +122,22 @@ def scores(t: Tables):
     return t.lineitem.select("l_orderkey", (F.col("l_quantity") * 1500).alias("score"), F.col("l_extendedprice").alias("label"))
 
 
-@query("E1_E9_regression_metrics", f"""
+METRICS = f"""
     SELECT round(avg(abs(score - label)), 3) AS mae, round(sqrt(avg(pow(score - label, 2))), 3) AS rmse,
            round(sqrt(avg(pow(ln(1 + abs(score)) - ln(1 + abs(label)), 2))), 6) AS rmsle,
            round(1 - sum(pow(label - score, 2)) / sum(pow(label - m, 2)), 6) AS r2, round(corr(score, label), 6) AS pearson,
            round((max(score) - min(score)) / (max(label) - min(label)), 6) AS yield, round(avg(pow(score - label, 2)), 0) AS efficiency,
            round(sqrt(var_samp(label - score) / (count(*) - 1)), 4) AS sigma_ref, round(stddev_samp(label - score), 3) AS sigma, count(*) AS n
-    FROM {SCORES}, (SELECT avg(label) AS m FROM {SCORES})""")
+    FROM {SCORES}, (SELECT avg(label) AS m FROM {SCORES})"""
+
+
+def rounded_metrics(df):
+    return rounded(df, mae=3, rmse=3, efficiency=0, sigma_ref=4, sigma=3)
+
+
+@query("E1_E9_regression_metrics", METRICS)
 def _(t: Tables):
-    return rounded(metrics.regression_metrics(scores(t)), mae=3, rmse=3, efficiency=0, sigma_ref=4, sigma=3)
+    return rounded_metrics(metrics.regression_metrics(scores(t)))
 
 
 @query("E6_spearman", f"SELECT round(corr(a, b), 6) AS spearman FROM (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS a, rank() OVER (ORDER BY label) + (count(*) OVER (PARTITION BY label) - 1) / 2 AS b FROM {SCORES})")

@@ -31,13 +31,16 @@ def sessions(stream: DataFrame, time: str, by: list[str], gap: str, late: str =
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("s"), *by).agg(F.count("*").alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *by, "n")
 
 
-def kalman(stream: DataFrame, by: str, time: str, value: str, system: float, noise: float) -> DataFrame:
-    """A first-order filter for each key, its mean and variance kept as state between batches."""
+def kalman(stream: DataFrame, by: str, order: list[str], value: str, system: float, noise: float) -> DataFrame:
+    """A first-order filter for each key, its mean and variance kept as state between batches.
+
+    ``order`` names the columns by which a batch's rows of a key are taken; they should leave no ties.
+    """
     kind = dict(stream.dtypes)[by]
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
         mean, variance, n = state.get if state.exists else (0.0, 1.0, 0)
-        rows = pd.concat(list(frames)).sort_values(time)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
         for v in rows[value]:
             p = variance + system
             gain = p / (p + noise)
@@ -45,24 +48,24 @@ def kalman(stream: DataFrame, by: str, time: str, value: str, system: float, noi
         state.update((mean, variance, n))
         yield pd.DataFrame({by: [key[0]], "mean": [mean], "variance": [variance], "n": [n]})
 
-    return stream.select(by, time, value).groupBy(by).applyInPandasWithState(step, f"{by} {kind}, mean double, variance double, n long", "mean double, variance double, n long", "update", GroupStateTimeout.NoTimeout)
+    return stream.select(by, *order, value).groupBy(by).applyInPandasWithState(step, f"{by} {kind}, mean double, variance double, n long", "mean double, variance double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def lag_features(stream: DataFrame, by: str, time: str, value: str, depth: int) -> DataFrame:
-    """The last ``depth`` values before each row (oldest first), kept as state: (by, time, features, target)."""
+def lag_features(stream: DataFrame, by: str, order: list[str], value: str, depth: int) -> DataFrame:
+    """The last ``depth`` values before each row (oldest first), kept as state: (by, order..., features, target)."""
     kinds = dict(stream.dtypes)
 
     def step(key, frames, state: GroupState):
         (past,) = state.get if state.exists else ([],)
         past, out = list(past), []
-        for t, v in pd.concat(list(frames)).sort_values(time)[[time, value]].itertuples(index=False):
+        for *at, v in pd.concat(list(frames)).sort_values(order, kind="stable")[[*order, value]].itertuples(index=False):
             if len(past) == depth:
-                out.append((key[0], t, list(past), float(v)))
+                out.append((key[0], *at, list(past), float(v)))
             past = [*past, float(v)][-depth:]
         state.update((past,))
-        yield pd.DataFrame(out, columns=[by, time, "features", "target"])
+        yield pd.DataFrame(out, columns=[by, *order, "features", "target"])
 
-    return stream.select(by, time, value).groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {time} {kinds[time]}, features array<double>, target double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(by, *order, value).groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {', '.join(f'{c} {kinds[c]}' for c in order)}, features array<double>, target double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(result: DataFrame, name: str, mode: str) -> DataFrame:
