@@ -12,8 +12,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import with_position
 from lodestone.session import durable
 
+BLOCKS = "bi long, bj long, nr int, nc int, block array<double>"
+#: Sums of blocks that a task holds at once.
+HELD = 256
+
 
 def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -82,13 +87,18 @@ def outer(x: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def gram_of(vectors: DataFrame, vector: str, size: int) -> DataFrame:
-    """XᵀX of array rows as cells: one aggregation, no join of the rows with themselves."""
-    cells = [(i, j) for i in range(size) for j in range(i, size)]
-    c = lambda i: F.col(vector)[i].cast("double")
-    row = vectors.agg(F.array(*(F.sum(c(i) * c(j)) for i, j in cells)).alias("g"))
-    index = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in cells))
-    one = row.select(F.explode(F.arrays_zip(index.alias("c"), F.col("g").alias("g"))).alias("z")).select("z.c.i", "z.c.j", F.col("z.g").alias("v"))
-    return one.unionByName(one.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    """XᵀX of array rows as cells: each task sums its rows' products to one matrix, and those are summed."""
+    i, j = np.indices((size, size))
+
+    def partial(frames):
+        total = np.zeros((size, size))
+        for pdf in frames:
+            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)[:, :size]
+            total += x.T @ x
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+    parts = vectors.select(F.col(vector).cast("array<double>").alias("x")).mapInPandas(partial, "i int, j int, v double")
+    return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def block_range(a: DataFrame, rows: tuple[int, int], columns: tuple[int, int] | None = None) -> DataFrame:
@@ -204,9 +214,66 @@ def block_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
             z = [(np.reshape(x, (r, k)) @ np.reshape(y, (k, c))).ravel() for x, y, r, k, c in zip(pdf["x"], pdf["y"], pdf["nr"], pdf["nk"], pdf["nc"], strict=True)]
             yield pd.DataFrame({"bi": pdf["bi"], "bj": pdf["bj"], "nr": pdf["nr"], "nc": pdf["nc"], "block": z})
 
-    parts = left.join(right, "bk").mapInPandas(gemm, "bi long, bj long, nr int, nc int, block array<double>")
-    cells = parts.select("bi", "bj", "nr", "nc", F.posexplode("block").alias("k", "v")).groupBy("bi", "bj", "nr", "nc", "k").agg(F.sum("v").alias("v"))
-    return cells.groupBy("bi", "bj", "nr", "nc").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("block"))
+    return block_sum(left.join(right, "bk").mapInPandas(gemm, BLOCKS))
+
+
+def block_sum(parts: DataFrame) -> DataFrame:
+    """Equal blocks added whole: a task's own first, then what the tasks have for a place."""
+
+    def combine(frames):
+        total: dict[tuple, np.ndarray] = {}
+        for pdf in frames:
+            for key, x in zip(pdf[["bi", "bj", "nr", "nc"]].itertuples(index=False, name=None), pdf["block"], strict=True):
+                total[key] = total[key] + x if key in total else np.array(x, float)
+                if len(total) >= HELD:
+                    yield _frame(total)
+                    total = {}
+        if total:
+            yield _frame(total)
+
+    def add(key, pdf):
+        return _frame({key: sum(np.array(x, float) for x in pdf["block"])})
+
+    return parts.mapInPandas(combine, BLOCKS).groupBy("bi", "bj", "nr", "nc").applyInPandas(add, BLOCKS)
+
+
+def _frame(blocks: dict[tuple, np.ndarray]) -> pd.DataFrame:
+    keys = list(blocks)
+    return pd.DataFrame({c: [k[n] for k in keys] for n, c in enumerate(("bi", "bj", "nr", "nc"))} | {"block": list(blocks.values())})
+
+
+def block_sorted(b: DataFrame) -> DataFrame:
+    """Blocks in the order of their rows, then columns: a range shuffle, each range sorted."""
+    return b.orderBy("bi", "bj")
+
+
+def block_zip_add(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
+    """Blocked vectors whose blocks are paired by their place in the order, whatever their indices; the left's stay."""
+    left = with_position(a, ["bi", "bj"], "__pos")
+    right = with_position(b.select("bi", "bj", F.col("block").alias("other")), ["bi", "bj"], "__pos").select("__pos", "other")
+    return left.join(right, "__pos").withColumn("block", F.zip_with("block", "other", lambda x, y: x + sign * y)).select("bi", "bj", "nr", "nc", "block")
+
+
+def block_stack_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``b`` below ``a``: whole blocks move up by the number of ``a``'s block rows, which must be full."""
+    rows = (a.agg(F.max("bi")).first()[0] + 1) if a.limit(1).count() else 0
+    return a.unionByName(b.withColumn("bi", F.col("bi") + rows))
+
+
+def block_stack_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    columns = (a.agg(F.max("bj")).first()[0] + 1) if a.limit(1).count() else 0
+    return a.unionByName(b.withColumn("bj", F.col("bj") + columns))
+
+
+def block_filter(b: DataFrame, keep: Column) -> DataFrame:
+    """Blocks for whose indices ``keep`` (of bi, bj) holds."""
+    return b.where(keep)
+
+
+def block_window(b: DataFrame, rows: tuple[int, int], columns: tuple[int, int] | None = None) -> DataFrame:
+    """Blocks of a range of block rows (and columns), both ends in, indices from 0 again."""
+    out = b.where(F.col("bi").between(*rows)).withColumn("bi", F.col("bi") - rows[0])
+    return out if columns is None else out.where(F.col("bj").between(*columns)).withColumn("bj", F.col("bj") - columns[0])
 
 
 # -- solves --------------------------------------------------------------------------------------------

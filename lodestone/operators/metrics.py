@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import lagged
 from lodestone.operators.stats import ranks
 
 
@@ -116,10 +117,11 @@ def binary_curve(df: DataFrame, at: list[float], score: str = "score", label: st
 
 
 def area_under(curve: DataFrame, x: str, y: str) -> DataFrame:
-    """Trapezoids between neighbours of the points in the order of (x, y). The curve has a point a threshold."""
-    w = Window.partitionBy(F.lit(0)).orderBy(x, y)
-    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return curve.select(step.alias("a")).agg(F.sum("a").alias("area"))
+    """Trapezoids between neighbours of the points in the order of (x, y), in blocks of positions."""
+    point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    pairs = lagged(curve.select(x, y), point, {"__before": 1}, [x, y])
+    step = (F.col(x) - F.col("__before.x")) * (F.col(y) + F.col("__before.y")) / 2
+    return pairs.agg(F.sum(step).alias("area"))
 
 
 def binary_kpi(df: DataFrame, at: list[float], score: str = "score", label: str = "label") -> DataFrame:

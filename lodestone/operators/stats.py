@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.ordered import lagged
+from lodestone.operators.ordered import lagged, scan
 
 
 def array_sum(a: Column | str) -> Column:
@@ -49,11 +49,12 @@ def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quickselect(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The k-th smallest value, counted from 1: counts by value first, so ties shrink before the order."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
-    smallest = counts.orderBy(column).limit(k)
-    running = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy(column))
-    return smallest.withColumn("__c", running).where(F.col("__c") >= k).agg(F.min(column).alias("value"))
+    """The k-th smallest value, counted from 1: counts by value first, so ties shrink before the order.
+
+    The running counts are taken in blocks of positions, whatever the number of distinct values.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    return scan(counts, "__n", [column], out="__upto").where(F.col("__upto") >= k).agg(F.min(column).alias("value"))
 
 
 def median(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -63,15 +64,14 @@ def median(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame
 def ranks(df: DataFrame, column: str, out: str = "rank", by: list[str] | None = None) -> DataFrame:
     """1-based ranks, ties averaged.
 
-    Without groups only the distinct values with their counts are put in order, not the rows.
+    Without groups only the distinct values with their counts are put in order, in blocks of positions.
     """
     if by:
         order = Window.partitionBy(*by).orderBy(column)
         return df.withColumn(out, F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0)
     counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn(out, F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2.0)
-    return df.join(placed.drop("__n"), column)
+    placed = scan(counts, "__n", [column], out="__upto").withColumn(out, F.col("__upto") - (F.col("__n") - 1) / 2.0)
+    return df.join(placed.drop("__n", "__upto"), column)
 
 
 def gram(df: DataFrame, features: list[Column], target: Column) -> DataFrame:

@@ -8,18 +8,18 @@ from lodestone.operators import linalg
 from lodestone.queries.registry import Tables, query
 from lodestone.queries.statistics import rounded
 
-#: Six components of every vector as cells, and two vectors over the rows.
-M = "(SELECT vec_id AS i, CAST(d AS BIGINT) AS j, CAST(embedding[d + 1] AS DOUBLE) AS v FROM embeddings, range(6) r(d))"
-X = "(SELECT CAST(d AS BIGINT) AS i, d + 1.0::DOUBLE AS v FROM range(6) r(d))"
+#: All components of every vector as cells, and a vector over the components.
+M = "(SELECT vec_id AS i, CAST(d AS BIGINT) AS j, CAST(embedding[d + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(d))"
+X = "(SELECT CAST(d AS BIGINT) AS i, d + 1.0::DOUBLE AS v FROM range(64) r(d))"
 
 
 def m(t: Tables):
-    e = t.embeddings.select(F.col("vec_id").alias("i"), F.posexplode(F.slice("embedding", 1, 6)).alias("j", "v"))
+    e = t.embeddings.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v"))
     return e.select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
 
 
 def x(t: Tables):
-    return linalg.vector(t.spark, 6, lambda i: i + 1)
+    return linalg.vector(t.spark, 64, lambda i: i + 1)
 
 
 @query("L1_transpose", f"SELECT j AS i, i AS j, v FROM {M}")
@@ -66,14 +66,14 @@ def _(t: Tables):
 
 @query("L9_block_product", f"SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) AS v FROM {M} a JOIN {M} b ON a.i = b.i GROUP BY a.j, b.j")
 def _(t: Tables):
-    b = linalg.to_blocks(m(t), 4)
-    return rounded(linalg.from_blocks(linalg.block_multiply(linalg.block_transpose(b), b), 4))
+    b = linalg.to_blocks(m(t), 32)
+    return rounded(linalg.from_blocks(linalg.block_multiply(linalg.block_transpose(b), b), 32))
 
 
 @query("L9_block_add", f"SELECT i, j, round(2 * v, 6) AS v FROM {M}")
 def _(t: Tables):
-    b = linalg.to_blocks(m(t), 4)
-    return rounded(linalg.from_blocks(linalg.block_add(b, b), 4))
+    b = linalg.to_blocks(m(t), 32)
+    return rounded(linalg.from_blocks(linalg.block_add(b, b), 32))
 
 
 @query("L10_hadamard", f"SELECT i, j, round(v * v, 6) AS v FROM {M}")
@@ -84,7 +84,7 @@ def _(t: Tables):
 @query("L12_blocked_cholesky", f"SELECT a.j AS i, b.j, round(sum(a.v * b.v) + CASE WHEN a.j = b.j THEN 1 ELSE 0 END, 6) AS v FROM {M} a JOIN {M} b ON a.i = b.i GROUP BY a.j, b.j")
 def _(t: Tables):
     gram = linalg.multiply(linalg.transpose(m(t)), m(t)).withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
-    factor = linalg.cholesky(gram, 4)
+    factor = linalg.cholesky(gram, 32)
     return rounded(linalg.multiply(factor, linalg.transpose(factor)))
 
 
@@ -115,9 +115,9 @@ def _(t: Tables):
     return linalg.from_blocks(linalg.to_blocks(m(t), 7), 7)
 
 
-@query("J4_gram", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(e[i + 1] * e[j + 1]), 5) AS v FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings), range(8) r(i), range(8) s(j) GROUP BY 1, 2")
+@query("J4_gram", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(e[i + 1] * e[j + 1]), 5) AS v FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings), range(64) r(i), range(64) s(j) GROUP BY 1, 2")
 def _(t: Tables):
-    return rounded(linalg.gram_of(t.embeddings, "embedding", 8), 5)
+    return rounded(linalg.gram_of(t.embeddings, "embedding", 64), 5)
 
 
 @query("J6_mirror", f"SELECT i, j, v FROM {M} WHERE i >= j UNION ALL SELECT j, i, v FROM {M} WHERE i > j")
@@ -130,7 +130,40 @@ def _(t: Tables):
     return linalg.block_range(m(t), (10, 20), (2, 4))
 
 
-@query("U2_stack", f"SELECT i, j, v FROM {M} UNION ALL SELECT i + (SELECT count(*) FROM embeddings), j, v FROM {M} UNION ALL SELECT i, j + 6, v FROM {M}")
+@query("U2_stack", f"SELECT i, j, v FROM {M} UNION ALL SELECT i + (SELECT count(*) FROM embeddings), j, v FROM {M} UNION ALL SELECT i, j + 64, v FROM {M}")
 def _(t: Tables):
     a = m(t)
-    return linalg.stack_rows(a, a, t.embeddings.count()).unionByName(linalg.stack_columns(a.where(F.lit(False)), a, 6))
+    return linalg.stack_rows(a, a, t.embeddings.count()).unionByName(linalg.stack_columns(a.where(F.lit(False)), a, 64))
+
+
+@query("U3_block_stack", f"SELECT i, j, v FROM {M} UNION ALL SELECT i, j + 64, v FROM {M}")
+def _(t: Tables):
+    b = linalg.to_blocks(m(t), 32)
+    return linalg.from_blocks(linalg.block_stack_columns(b, b), 32)
+
+
+@query("U3_block_stack_rows", f"SELECT j AS i, i AS j, v FROM {M} UNION ALL SELECT j + 64, i, v FROM {M}")
+def _(t: Tables):
+    b = linalg.to_blocks(linalg.transpose(m(t)), 32)
+    return linalg.from_blocks(linalg.block_stack_rows(b, b), 32)
+
+
+@query("K2_block_order", f"SELECT CAST(floor(i / 32) AS BIGINT) AS bi, CAST(floor(j / 32) AS BIGINT) AS bj, round(sum(v), 5) AS total FROM {M} GROUP BY 1, 2")
+def _(t: Tables):
+    total = F.aggregate("block", F.lit(0.0), lambda s, v: s + v)
+    return linalg.block_sorted(linalg.to_blocks(m(t), 32)).select("bi", "bj", F.round(total, 5).alias("total"))
+
+
+@query("K5_block_filter", f"SELECT i - 32 AS i, j, v FROM {M} WHERE floor(i / 32) BETWEEN 1 AND 3 AND floor(j / 32) = 0 AND floor(i / 32) % 2 = 1")
+def _(t: Tables):
+    odd = linalg.block_filter(linalg.to_blocks(m(t), 32), F.col("bi") % 2 == 1)
+    return linalg.from_blocks(linalg.block_window(odd, (1, 3), (0, 0)), 32)
+
+
+@query("J3b_block_zip", f"SELECT i, CAST(0 AS BIGINT) AS j, v + w AS v FROM (SELECT i, v FROM {X}) JOIN (SELECT (i + 32) % 64 AS i, 2 * v AS w FROM {X}) USING (i)")
+def _(t: Tables):
+    column = lambda a: a.select("i", F.lit(0).cast("long").alias("j"), "v")
+    a, b = linalg.to_blocks(column(x(t)), 32), linalg.to_blocks(column(linalg.scale(x(t), 2.0)), 32)
+    # the second vector's blocks change places: the pairing is by place alone
+    turned = b.withColumn("bi", (F.col("bi") + 1) % 2)
+    return linalg.from_blocks(linalg.block_zip_add(a, turned), 32)

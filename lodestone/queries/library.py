@@ -282,14 +282,14 @@ def _(t: Tables):
 
 # -- kernels -------------------------------------------------------------------------------------------
 
-#: The first eight components of each vector against the next eight; s2, s1, d, xx, yy as the SQL sees them.
+#: The first half of each vector against the second; s2, s1, d, xx, yy as the SQL sees them.
 PAIRS = """(SELECT vec_id, list_sum([p * p for p in dl]) AS s2, list_sum([abs(p) for p in dl]) AS s1, list_dot_product(a, b) AS d, list_dot_product(a, a) AS xx, list_dot_product(b, b) AS yy, dl FROM (
-    SELECT vec_id, a, b, [z[1] - z[2] for z in list_zip(a, b)] AS dl FROM (SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS a, CAST(embedding[9:16] AS DOUBLE[]) AS b FROM embeddings)))"""
+    SELECT vec_id, a, b, [z[1] - z[2] for z in list_zip(a, b)] AS dl FROM (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS a, CAST(embedding[33:64] AS DOUBLE[]) AS b FROM embeddings)))"""
 
 KERNELS = {
     "N1_rbf": (kernels.rbf(2.0), "exp(-s2 / 8)"),
     "N2_se": (kernels.se(2.0, 1.5), "2.25 * exp(-s2 / 8)"),
-    "N3_mahalanobis": (kernels.mahalanobis([2.0] * 8), "exp(-s2 / 8)"),
+    "N3_mahalanobis": (kernels.mahalanobis([2.0] * 32), "exp(-s2 / 8)"),
     "N5_laplacian": (kernels.laplacian(3.0), "exp(-s1 / 3)"),
     "N6_cauchy": (kernels.cauchy(2.0), "1 / (1 + s2 / 4)"),
     "N7_rational_quadratic": (kernels.rational_quadratic(2.0, 3.0), "pow(1 + s2 / 12, -5.5)"),
@@ -314,21 +314,21 @@ KERNELS = {
 
 
 def vectors(t: Tables):
-    return t.embeddings.select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
 def register(name, kernel, sql):
     @query(name, f"SELECT vec_id, round({sql}, 6) AS k FROM {PAIRS}")
     def _(t: Tables):
         e = F.col("embedding").cast("array<double>")
-        return t.embeddings.select("vec_id", F.round(kernel(F.slice(e, 1, 8), F.slice(e, 9, 8)), 6).alias("k"))
+        return t.embeddings.select("vec_id", F.round(kernel(F.slice(e, 1, 32), F.slice(e, 33, 32)), 6).alias("k"))
 
 
 for _name, (_kernel, _sql) in KERNELS.items():
     register(_name, _kernel, _sql)
 
 
-@query("N27_kernel_matrix", "SELECT x.vec_id AS i, y.vec_id AS j, round(exp(-list_sum([pow(z[1] - z[2], 2) for z in list_zip(CAST(x.embedding[1:8] AS DOUBLE[]), CAST(y.embedding[1:8] AS DOUBLE[]))]) / 8), 6) AS v FROM embeddings x, embeddings y")
+@query("N27_kernel_matrix", "SELECT x.vec_id AS i, y.vec_id AS j, round(exp(-list_sum([pow(z[1] - z[2], 2) for z in list_zip(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[]))]) / 8), 6) AS v FROM embeddings x, embeddings y")
 def _(t: Tables):
     return rounded(kernels.matrix(vectors(t), kernels.rbf(2.0)))
 

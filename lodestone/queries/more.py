@@ -166,10 +166,10 @@ def _(t: Tables):
     return rounded(d.select("event_id", F.col("v")[0].alias("a"), F.col("v")[1].alias("b")))
 
 
-@query("L14_quadratic_form", "SELECT round(sum(a.v * g.v * b.v), 3) AS v FROM (SELECT i, j, sum(p.e[i + 1] * p.e[j + 1]) AS v FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings) p, range(4) r(i), range(4) s(j) GROUP BY i, j) g JOIN (SELECT i, i + 1.0 AS v FROM range(4) r(i)) a ON a.i = g.i JOIN (SELECT i, i + 1.0 AS v FROM range(4) r(i)) b ON b.i = g.j")
+@query("L14_quadratic_form", "SELECT round(sum(a.v * g.v * b.v), 3) AS v FROM (SELECT i, j, sum(p.e[i + 1] * p.e[j + 1]) AS v FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings) p, range(64) r(i), range(64) s(j) GROUP BY i, j) g JOIN (SELECT i, i + 1.0 AS v FROM range(64) r(i)) a ON a.i = g.i JOIN (SELECT i, i + 1.0 AS v FROM range(64) r(i)) b ON b.i = g.j")
 def _(t: Tables):
-    g = linalg.to_numpy(linalg.gram_of(t.embeddings, "embedding", 4))
-    return t.spark.createDataFrame([(round(linalg.quadratic_form(g, np.arange(1.0, 5.0)), 3),)], "v double")
+    g = linalg.to_numpy(linalg.gram_of(t.embeddings, "embedding", 64))
+    return t.spark.createDataFrame([(round(linalg.quadratic_form(g, np.arange(1.0, 65.0)), 3),)], "v double")
 
 
 @query("L11_triangular_solve", "SELECT CAST(i AS INTEGER) AS i, 2.0::DOUBLE AS v FROM range(3) r(i)")
@@ -190,13 +190,13 @@ SPLINE = "list_product([CASE WHEN u < 0.5 THEN 1 - 6 * u * u + 6 * u * u * u WHE
 for _name, _kernel, _sql in (
     ("N13_wavelet", kernels.wavelet(bases.haar_mother, 2.0), HAAR),
     ("N14_anova", kernels.anova(0.5, 1.0, 2.0), "list_sum([exp(-p * p) for p in dl])"),
-    ("N17_neural", kernels.neural([1.0] * 9), "2 / pi() * asin(2 * (d + 1) / sqrt((1 + 2 * (xx + 1)) * (1 + 2 * (yy + 1))))"),
+    ("N17_neural", kernels.neural([1.0] * 33), "2 / pi() * asin(2 * (d + 1) / sqrt((1 + 2 * (xx + 1)) * (1 + 2 * (yy + 1))))"),
     ("N21_cubic_spline", kernels.cubic_spline(9.0), SPLINE),
-    ("N22_spectral", kernels.gaussian_spectral([0.1] * 8, [0.05] * 8), "cos(2 * pi() * 0.1 * list_sum(dl)) * exp(-2 * pi() * pi() * 0.0025 * s2)"),
+    ("N22_spectral", kernels.gaussian_spectral([0.1] * 32, [0.05] * 32), "cos(2 * pi() * 0.1 * list_sum(dl)) * exp(-2 * pi() * pi() * 0.0025 * s2)"),
     ("N25_separable", kernels.separable(kernels.norm2), "xx * yy"),
-    ("N25_decomposed", kernels.decomposed([(0, 8)], kernels.rbf(2.0)), "exp(-s2 / 8)"),
+    ("N25_decomposed", kernels.decomposed([(0, 32)], kernels.rbf(2.0)), "exp(-s2 / 8)"),
     ("N25_locally_stationary", kernels.locally_stationary(kernels.rbf(2.0), kernels.norm2), "exp(-s2 / 8) * (xx + yy + 2 * d) / 4"),
-    ("N20_matern_ard", kernels.matern_ard([2.0] * 8, 1), "(1 + sqrt(3) * sqrt(s2) / 2) * exp(-sqrt(3) * sqrt(s2) / 2)"),
+    ("N20_matern_ard", kernels.matern_ard([2.0] * 32, 1), "(1 + sqrt(3) * sqrt(s2) / 2) * exp(-sqrt(3) * sqrt(s2) / 2)"),
     ("N26_laplacian_gradient", kernels.GRADIENTS["laplacian"](3.0)["beta"], "exp(-s1 / 3) * s1 / 9"),
     ("N26_cauchy_gradient", kernels.GRADIENTS["cauchy"](2.0)["sigma"], "2 * s2 / 8 / pow(1 + s2 / 4, 2)"),
 ):
@@ -244,10 +244,15 @@ def _(t: Tables):
     return t.nation.select("n_nationkey", F.flatten(F.array(e.decode(code), back(code[1]))).alias("v"))
 
 
-@query("F29_matrix_predicates", "SELECT true AS square, true AS symmetric")
+@query("F29_matrix_predicates", """
+    WITH c AS (SELECT vec_id AS i, CAST(d AS BIGINT) AS j, CAST(embedding[d + 1] AS DOUBLE) AS v FROM embeddings, range(64) r(d)),
+    g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.i = b.i GROUP BY a.j, b.j)
+    SELECT 'gram' AS matrix, (SELECT max(i) = max(j) FROM g) AS square, (SELECT max(abs(a.v - b.v)) < 1e-6 FROM g a JOIN g b ON a.i = b.j AND a.j = b.i) AS symmetric
+    UNION ALL SELECT 'rows', (SELECT max(i) = max(j) FROM c), (SELECT count(*) = 0 FROM c a JOIN c b ON a.i = b.j AND a.j = b.i WHERE abs(a.v - b.v) > 1e-9)""")
 def _(t: Tables):
-    g = linalg.gram_of(t.embeddings, "embedding", 5)
-    return t.spark.createDataFrame([(linalg.is_square(g), linalg.is_symmetric(g))], "square boolean, symmetric boolean")
+    rows = t.embeddings.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    tell = lambda name, a: (name, linalg.is_square(a), linalg.is_symmetric(a, 1e-6))
+    return t.spark.createDataFrame([tell("gram", linalg.gram_of(t.embeddings, "embedding", 64)), tell("rows", rows)], "matrix string, square boolean, symmetric boolean")
 
 
 @query("F18_activation_names", f"SELECT event_id, round(x, 6) AS linear FROM {X}")

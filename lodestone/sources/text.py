@@ -60,18 +60,30 @@ def arff_attributes(head: list[str]) -> list[tuple[str, str]]:
 def arff(spark: SparkSession, path: str) -> DataFrame:
     """Typed rows: numbers as double, strings and nominal values as string, ``?`` as null.
 
-    Only the head, up to ``@data``, is read on the driver; data lines are parsed where they lie.
+    Only one file's head, up to ``@data``, is read on the driver; data lines are parsed where
+    they lie. Each file of a directory has a head of its own, and all must declare the same;
+    a file without ``@data`` is refused.
     """
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim("value").alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("%"))
-    start = raw.where(F.lower("value") == "@data").agg(F.min("at")).first()[0]
-    head = [r["value"] for r in raw.where(F.col("at") < start).orderBy("at").collect()]
+    lines = spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    raw = lines.where((F.col("value") != "") & ~F.col("value").startswith("%"))
+    starts = raw.groupBy("file").agg(F.min(F.when(F.lower("value") == "@data", F.col("at"))).alias("start"))
+    headless = starts.where("start is null").first()
+    first = starts.agg(F.min_by(F.struct("file", "start"), "file").alias("f")).first()["f"]
+    if headless or first is None:
+        raise ValueError(f"no @data in {headless['file'] if headless else path}")
+    placed = raw.join(starts, "file")
+    heads = placed.where(F.col("at") < F.col("start"))
+    head = [r["value"] for r in heads.where(F.col("file") == first["file"]).orderBy("at").collect()]
+    declared = F.array_sort(F.collect_list(F.when(F.lower("value").startswith("@attribute"), F.struct("at", F.regexp_replace("value", r"\s+", " ").alias("v")))))
+    if heads.groupBy("file").agg(F.transform(declared, lambda s: s["v"]).alias("d")).select("d").distinct().limit(2).count() > 1:
+        raise ValueError(f"the files of {path} declare different attributes")
     fields = F.split("value", r"\s*,\s*")
     columns = []
     for i, (name, kind) in enumerate(arff_attributes(head)):
         cell = F.regexp_replace(F.try_element_at(fields, F.lit(i + 1)), r"^['\"]|['\"]$", "")
         cell = F.when(cell != "?", cell)
         columns.append((cell.try_cast("double") if kind.lower() in ("numeric", "real", "integer") else cell).alias(name))
-    return raw.where(F.col("at") > start).select(*columns)
+    return placed.where(F.col("at") > F.col("start")).select(*columns)
 
 
 def write_arff(df: DataFrame, path: str, relation: str = "data", nominal: dict[str, list[str]] | None = None) -> None:

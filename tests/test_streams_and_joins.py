@@ -90,3 +90,78 @@ def test_prototypes_gain_entropy(spark):
     df = spark.range(200).select(F.array(F.randn(1), F.randn(2)).alias("x"))
     few, more = (prototypes.entropy(prototypes.select(df, "x", 8, tries=n), 1.0) for n in (0, 100))
     assert more >= few
+
+
+def test_ranks_over_several_blocks(spark, monkeypatch):
+    """Ranks and order statistics carry over block borders."""
+    import random
+
+    from lodestone.operators import ordered, stats
+
+    monkeypatch.setattr(ordered, "BLOCK", 7)
+    r = random.Random(1)
+    values = [r.randrange(40) for _ in range(200)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    at = sorted(values)
+    expected = {v: sum(i + 1 for i, w in enumerate(at) if w == v) / at.count(v) for v in set(values)}
+    assert {x["v"]: x["rank"] for x in stats.ranks(df, "v").distinct().collect()} == expected
+    for k in (1, 50, 200):
+        assert stats.quickselect(df, "v", k).first()["value"] == at[k - 1]
+    assert stats.quickselect(df, "v", 201).first()["value"] is None
+
+
+def test_kalman_path_over_runs(spark):
+    """A series cut in many runs gives what one fold gives; one series holds a third of all rows."""
+    import random
+
+    from lodestone.plans import sequences
+
+    r = random.Random(2)
+    rows = [(k, t, r.gauss(0, 1)) for k in range(20) for t in range(300 if k == 0 else 30)]
+    df = spark.createDataFrame(rows, "k int, t int, v double").repartition(5)
+    expected = {}
+    for k, t, v in rows:
+        m, c = expected.get((k, t - 1), (0.5, 2.0))
+        g = (c + 0.1) / (c + 0.6)
+        expected[k, t] = m + g * (v - m), g * 0.5
+    for block in (1, 7, 4096):
+        got = {(x["k"], x["t"]): (x["mean"], x["variance"]) for x in sequences.kalman_path(df, ["k"], ["t"], "v", 0.1, 0.5, 0.5, 2.0, block).collect()}
+        assert set(got) == set(expected)
+        assert all(abs(got[key][i] - expected[key][i]) < 1e-9 for key in got for i in (0, 1))
+
+
+def test_state_lives_across_batches(spark, tmp_path):
+    """A key's rows come in three files; equal times inside a file are told apart by the second column."""
+    from lodestone.streaming import tables
+
+    rows = [(k, t // 2, t, float(t * 10 + k)) for t in range(12) for k in range(3)]
+    df = spark.createDataFrame(rows, "k int, t int, i int, v double")
+    for part in range(3):
+        df.where(F.floor(F.col("i") / 4) == part).orderBy(F.desc("i")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = tables.drain(tables.lag_features(tables.read(spark, str(tmp_path / "in"), df), "k", ["t", "i"], "v", 3), "lags_of_batches", "append").collect()
+    assert sorted((x["k"], x["i"], x["features"], x["target"]) for x in got) == sorted((k, i, [float((i - d) * 10 + k) for d in (3, 2, 1)], v) for k, _, i, v in rows if i >= 3)
+    done = tables.drain(tables.kalman(tables.read(spark, str(tmp_path / "in"), df), "k", ["t", "i"], "v", 0.1, 0.5), "kalman_of_batches", "update")
+    assert done.count() == 9
+    for k in range(3):
+        m, c = 0.0, 1.0
+        for t in range(12):
+            g = (c + 0.1) / (c + 0.6)
+            m, c = m + g * (t * 10 + k - m), g * 0.5
+        last = done.where(f"k = {k} and n = 12").first()
+        assert abs(last["mean"] - m) < 1e-9 and abs(last["variance"] - c) < 1e-12
+
+
+def test_arff_directories(spark, tmp_path):
+    import pytest
+
+    from lodestone.sources import text
+
+    for name, row in (("a", "1,x"), ("b", "2,?")):
+        (tmp_path / f"{name}.arff").write_text(f"% c\n@relation r\n@attribute n numeric\n@attribute  s string\n@data\n{row}\n")
+    assert sorted(tuple(r) for r in text.arff(spark, str(tmp_path)).collect()) == [(1.0, "x"), (2.0, None)]
+    (tmp_path / "c.arff").write_text("@relation r\n@attribute n numeric\n")
+    with pytest.raises(ValueError):
+        text.arff(spark, str(tmp_path))
+    (tmp_path / "c.arff").write_text("@relation r\n@attribute z numeric\n@data\n3\n")
+    with pytest.raises(ValueError):
+        text.arff(spark, str(tmp_path))
