@@ -17,6 +17,16 @@ def draws(spark: SparkSession, n: int, partitions: int | None = None, **columns:
     return spark.range(0, n, 1, partitions or max(1, n // 1_000_000)).withColumns(columns)
 
 
+def iid(draw, n: int, seed: int) -> Column:
+    """An array of n independent draws; ``draw`` is a function of a seed."""
+    return F.array(*(draw(seed + 1009 * k) for k in range(n)))
+
+
+def joint(spark: SparkSession, n: int, prior: dict[str, Column], conditional) -> DataFrame:
+    """Draws of a prior, then of what depends on it: ``conditional`` gives columns from the prior's."""
+    return draws(spark, n, **prior).withColumns(conditional({c: F.col(c) for c in prior}))
+
+
 # -- draws by inverse distribution functions ------------------------------------------------------------
 
 
@@ -92,6 +102,23 @@ def multivariate_gaussian(mean, root, seed: int) -> Column:
     return F.array(*rows)
 
 
+def matrix_gaussian(mean, row_root, column_root, seed: int) -> Column:
+    """M + A·Z·Bᵀ with A, B the roots of the covariances of rows and columns, as an array of rows."""
+    rows, columns = len(mean), len(mean[0])
+    z = [[F.randn(seed + i * columns + j) for j in range(columns)] for i in range(rows)]
+
+    def cell(i, j):
+        out = F.lit(float(mean[i][j]))
+        for k in range(rows):
+            for m in range(columns):
+                w = float(row_root[i][k]) * float(column_root[j][m])
+                if w:
+                    out = out + w * z[k][m]
+        return out
+
+    return F.array(*(F.array(*(cell(i, j) for j in range(columns))) for i in range(rows)))
+
+
 def mixture(weights: list[float], parts: list[Column], seed: int) -> Column:
     return F.array(*parts)[categorical(weights, seed)]
 

@@ -12,7 +12,7 @@ from lodestone.operators.stats import ranks
 def regression_metrics(df: DataFrame, p: str = "score", y: str = "label", by: list[str] | None = None) -> DataFrame:
     """All scalar metrics in one pass: R² from moments, so no second scan for the mean.
 
-    ``sigma_ref`` divides the sample variance of the residuals by n - 1 once more; ``sigma``
+    ``msle`` is ``rmsle`` without its root. ``sigma_ref`` divides the sample variance of the residuals by n - 1 once more; ``sigma``
     is their standard deviation.
     """
     p_, y_ = F.col(p).cast("double"), F.col(y).cast("double")
@@ -23,6 +23,7 @@ def regression_metrics(df: DataFrame, p: str = "score", y: str = "label", by: li
         F.avg(F.abs(p_ - y_)).alias("mae"),
         F.sqrt(F.avg((p_ - y_) ** 2)).alias("rmse"),
         F.sqrt(F.avg(log**2)).alias("rmsle"),
+        F.avg(log**2).alias("msle"),
         F.when(sst > 0, 1 - sse / sst).alias("r2"),
         F.corr(p_, y_).alias("pearson"),
         F.try_divide(F.max(p_) - F.min(p_), F.max(y_) - F.min(y_)).alias("yield"),

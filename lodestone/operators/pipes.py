@@ -67,6 +67,26 @@ def side_effect(action: Callable[[DataFrame], None]) -> Pipe:
     return Pipe(run)
 
 
+def foreach(action: Callable) -> Pipe:
+    """Runs an action on each row, where the rows lie, and passes the frame on."""
+
+    def rows(part):
+        for row in part:
+            action(row)
+
+    return side_effect(lambda df: df.foreachPartition(rows))
+
+
+def to_rows() -> Pipe:
+    """A frame as an iterator of its rows; one partition at a time reaches the driver."""
+    return Pipe(lambda df: df.toLocalIterator(prefetchPartitions=True))
+
+
+def to_frame(spark, schema: str) -> Pipe:
+    """Rows (any iterable, bounded by the driver's memory) as a frame."""
+    return Pipe(lambda rows: spark.createDataFrame([tuple(r) for r in rows], schema))
+
+
 def mapped(**columns: Column | Callable[[DataFrame], Column]) -> Pipe:
     """Adds or replaces columns, row by row."""
     return Pipe(lambda df: df.withColumns({k: v(df) if callable(v) and not isinstance(v, Column) else v for k, v in columns.items()}))

@@ -145,6 +145,15 @@ def fit_split(df: DataFrame, vectors: list[str], kind: str, split: str = "split"
     return df, scalers
 
 
+def standardise(df: DataFrame, features: str, target: str, kinds: tuple[str, str] = ("gaussian", "gaussian")) -> tuple[DataFrame, tuple[Scaler, Scaler]]:
+    """Array columns of features and targets scaled, each by its own kind; sample deviations (n - 1).
+
+    Gives the scaled frame and both scalers, whose inverses lead back.
+    """
+    both = fit(df, features, kinds[0]), fit(df, target, kinds[1])
+    return both[1].apply(both[0].apply(df, features), target), both
+
+
 # -- encoders ------------------------------------------------------------------------------------
 
 

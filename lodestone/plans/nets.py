@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalar import SELU, activation
+from lodestone.operators.metrics import multi_regression_metrics
 from lodestone.session import durable
 
 #: name → (value, derivative from the pre-activation), on NumPy arrays.
@@ -110,16 +111,17 @@ def train(df: DataFrame, network: Network, features: str = "features", target: s
                     total = g if total is None else [a + b for a, b in zip(total, g, strict=True)]
                     loss, n = loss + e, n + len(pdf)
             if n:
-                yield pd.DataFrame({"g": [np.concatenate([a.ravel() for a in total])], "l": [loss], "n": [n]})
+                yield pd.DataFrame({"g": [np.concatenate([*(a.ravel() for a in total), [loss, n]])]})
 
         part = rows if batch >= 1 else rows.sample(False, batch, seed + k)
-        sums = part.mapInPandas(partial, "g array<double>, l double, n long")
-        size = sum(b.size for b in before)
-        r = sums.agg(F.array(*(F.sum(F.col("g")[i]) for i in range(size))).alias("g"), F.sum("l").alias("l"), F.sum("n").alias("n")).first()
-        if not r["n"]:
+        # a row a task; summed by place, whatever the number of weights
+        places = part.mapInPandas(partial, "g array<double>").select(F.posexplode("g").alias("i", "g")).groupBy("i").agg(F.sum("g").alias("g"))
+        r = np.array([x["g"] for x in sorted(places.collect(), key=lambda x: x["i"])])
+        if not len(r):
             continue
-        net.history.append(r["l"] / r["n"])
-        flat, at, step = np.array(r["g"]) / r["n"], 0, rate / (1 + 0.5 * k)
+        n = r[-1]
+        net.history.append(r[-2] / n)
+        flat, at, step = r[:-2] / n, 0, rate / (1 + 0.5 * k)
         fresh = []
         for i, (w, b) in enumerate(net.layers):
             pair = []
@@ -140,9 +142,60 @@ def autoencoder(df: DataFrame, sizes: list[int], activations: list[str], feature
     return train(df.withColumn("__t", F.col(features)), Network.initial(sizes, activations), features, "__t", **options)
 
 
+@dataclass
+class Model:
+    """A network with its data's columns: ``fit``, ``predict``, ``evaluate`` (each output's metrics), ``energy``."""
+
+    sizes: list[int]
+    activations: list[str]
+    features: str = "features"
+    target: str = "target"
+    network: Network | None = None
+
+    def fit(self, df: DataFrame, stop: Stop | None = None, **options) -> Model:
+        start = Network.initial(self.sizes, self.activations, options.get("seed", 0))
+        self.network = train(df, start, self.features, self.target, stop, **options)
+        return self
+
+    def predict(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        return self.network.predict(df, self.features, out)
+
+    def evaluate(self, df: DataFrame) -> DataFrame:
+        return multi_regression_metrics(self.predict(df).select(F.col("prediction").alias("scores"), F.col(self.target).alias("labels")))
+
+    def energy(self, df: DataFrame) -> float:
+        """The mean squared error over rows and outputs: what a tuner would lower."""
+        return float(self.evaluate(df).agg(F.avg("efficiency")).first()[0])
+
+
 # -- layers ---------------------------------------------------------------------------------------------
 
 
+def apply_layer(df: DataFrame, column: str, layer, out: str, shape: list[int] | None = None) -> DataFrame:
+    """A layer (array of rows → array of rows) over an array column, in Arrow batches; the outcome is flat.
+
+    ``shape`` gives the rows their form (an image: height, width, channels). Layers that look at
+    the whole batch (``batch_norm``) see an Arrow batch; over a table take ``normalised``.
+    """
+    kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+    def run(frames):
+        for pdf in frames:
+            x = np.array(pdf[column].tolist(), float).reshape(len(pdf), *(shape or [-1]))
+            yield pdf.assign(**{out: [np.ravel(r) for r in layer(x)] if len(pdf) else []})
+
+    return df.mapInPandas(run, f"{kinds}, {out} array<double>")
+
+
+def normalised(df: DataFrame, column: str, gamma: float = 1.0, beta: float = 0.0, epsilon: float = 1e-5) -> DataFrame:
+    """Batch normalisation with the table as the batch: its means and population variances, one aggregation."""
+    size = df.select(F.max(F.size(column))).first()[0] or 0
+    c = lambda i: F.col(column)[i].cast("double")
+    row = df.agg(F.array(*(F.avg(c(i)) for i in range(size))).alias("m"), F.array(*(F.var_pop(c(i)) for i in range(size))).alias("v")).first()
+    cells = [(c(i) - F.lit(m)) / F.lit(float(np.sqrt(v + epsilon))) * gamma + beta for i, (m, v) in enumerate(zip(row["m"] or [], row["v"] or [], strict=True))]
+    return df.withColumn(column, F.array(*cells))
+
+
 def batch_norm(x: np.ndarray, gamma=1.0, beta=0.0) -> np.ndarray:
     """By the batch's own mean and population variance, always."""
     return (x - x.mean(0)) / np.sqrt(x.var(0) + 1e-5) * gamma + beta
@@ -182,6 +235,20 @@ def conv2d(image: np.ndarray, filters: np.ndarray) -> np.ndarray:
     return np.einsum("hwckl,klco->hwo", windows, filters)
 
 
+def pyramid(image: np.ndarray, stack: list[np.ndarray]) -> np.ndarray:
+    """Convolutions one after another, each followed by a rectifier and a halving by maxima."""
+    for filters in stack:
+        image = np.maximum(conv2d(image, filters), 0)
+        h, w, c = image.shape
+        image = image[: h // 2 * 2, : w // 2 * 2].reshape(h // 2, 2, w // 2, 2, c).max((1, 3))
+    return image
+
+
+def inception(image: np.ndarray, branches: list[np.ndarray]) -> np.ndarray:
+    """Convolutions beside each other, their channels joined."""
+    return np.concatenate([conv2d(image, f) for f in branches], 2)
+
+
 def series_loss(prediction: np.ndarray, truth: np.ndarray) -> float:
     return float(((prediction - truth) ** 2).mean(0).sum())
 

@@ -46,6 +46,20 @@ def predict_batches(df: DataFrame, model, features: str = "features", columns: t
     return df.mapInPandas(run, f"{kinds}, " + ", ".join(f"{c} double" for c in columns))
 
 
+def covariance_root(kernel: Gram, noise: Gram, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(covariance of noisy training points, its Cholesky factor).
+
+    Points that repeat share what the noise kernel gives them, which may leave the matrix singular:
+    then a hundred-millionth of its mean diagonal is added.
+    """
+    k = kernel(x, x) + noise(x, x)
+    try:
+        return k, np.linalg.cholesky(k)
+    except np.linalg.LinAlgError:
+        k = k + 1e-8 * np.trace(k) / max(1, len(k)) * np.eye(len(k))
+        return k, np.linalg.cholesky(k)
+
+
 @dataclass(frozen=True)
 class GaussianProcess:
     kernel: Gram
@@ -56,7 +70,7 @@ class GaussianProcess:
 
     @cached_property
     def _factor(self):
-        l = np.linalg.cholesky(self.kernel(self.x, self.x) + self.noise(self.x, self.x))  # noqa: E741
+        _, l = covariance_root(self.kernel, self.noise, self.x)  # noqa: E741
         return l, np.linalg.solve(l.T, np.linalg.solve(l, self.y - self.mean(self.x)))
 
     def factor(self):
@@ -117,8 +131,8 @@ class MatrixT:
     def predict(self, x: np.ndarray):
         """(means, scale matrix between outputs, degrees of freedom)."""
         h = lambda z: np.column_stack([np.ones(len(z)), z])
-        a = self.kernel(self.x, self.x) + self.noise(self.x, self.x)
-        l, hx = np.linalg.cholesky(a), h(self.x)  # noqa: E741
+        _, l = covariance_root(self.kernel, self.noise, self.x)  # noqa: E741
+        hx = h(self.x)
         hl, yl = np.linalg.solve(l, hx), np.linalg.solve(l, self.y)
         b = np.linalg.solve(hl.T @ hl, hl.T @ yl)
         r = yl - hl @ b
@@ -134,7 +148,7 @@ class SkewProcess(GaussianProcess):
     cutoff: float = 0.0
 
     def predict(self, x):
-        k = self.kernel(self.x, self.x) + self.noise(self.x, self.x)
+        k, _ = covariance_root(self.kernel, self.noise, self.x)
         lam = np.full(len(self.x), self.skew)
         beta = np.linalg.solve(k, lam)
         delta = 1 / math.sqrt(1 + lam @ beta)
@@ -288,12 +302,20 @@ def by_group(df: DataFrame, group: str, order: list[str], run, schema: str, feat
     return df.groupBy(group).applyInPandas(each, f"{group} {kind}, {schema}")
 
 
-def predict_by_group(df: DataFrame, group: str, order: list[str], make, columns: tuple[str, ...] = ("mean", "variance"), answer=None, features: str = "features", target: str = "target") -> DataFrame:
-    """Each group's model, trained on all its rows, answers for each of them: (group, order..., target, columns...)."""
+def predict_by_group(df: DataFrame, group: str, order: list[str], make, columns: tuple[str, ...] = ("mean", "variance"), answer=None, features: str = "features", target: str = "target", train: str | None = None) -> DataFrame:
+    """Each group's model answers for each of the group's rows: (group, order..., target, columns...).
+
+    It is trained on all of them, or on those for which the boolean column ``train`` is true (a
+    group without any is answered by nulls); ``train`` then comes along.
+    """
     kinds = dict(df.dtypes)
+    order = [*order, train] if train else order
 
     def run(x, y, pdf):
-        model = make(x, y)
+        known = pdf[train].to_numpy(bool) if train else np.ones(len(pdf), bool)
+        if not known.any():
+            return pd.DataFrame({c: pdf[c] for c in [*order, target]} | {c: np.full(len(pdf), np.nan) for c in columns})
+        model = make(x[known], y[known])
         say = answer or (lambda m, z: m.posterior(z))
         return pd.DataFrame({c: pdf[c] for c in [*order, target]} | dict(zip(columns, say(model, x), strict=False)))
 

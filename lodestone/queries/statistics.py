@@ -124,7 +124,7 @@ def scores(t: Tables):
 
 METRICS = f"""
     SELECT round(avg(abs(score - label)), 3) AS mae, round(sqrt(avg(pow(score - label, 2))), 3) AS rmse,
-           round(sqrt(avg(pow(ln(1 + abs(score)) - ln(1 + abs(label)), 2))), 6) AS rmsle,
+           round(sqrt(avg(pow(ln(1 + abs(score)) - ln(1 + abs(label)), 2))), 6) AS rmsle, round(avg(pow(ln(1 + abs(score)) - ln(1 + abs(label)), 2)), 6) AS msle,
            round(1 - sum(pow(label - score, 2)) / sum(pow(label - m, 2)), 6) AS r2, round(corr(score, label), 6) AS pearson,
            round((max(score) - min(score)) / (max(label) - min(label)), 6) AS yield, round(avg(pow(score - label, 2)), 0) AS efficiency,
            round(sqrt(var_samp(label - score) / (count(*) - 1)), 4) AS sigma_ref, round(stddev_samp(label - score), 3) AS sigma, count(*) AS n

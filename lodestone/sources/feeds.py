@@ -46,6 +46,18 @@ def feed(df: DataFrame, size: int) -> Iterator[list]:
         yield held
 
 
+def unfold(spark, start: float, step, n: int) -> DataFrame:
+    """(k, value): start, step(start), step(step(start))...: n rows of a recursion, which one task works out."""
+    first = F.array(F.lit(float(start)))
+    values = F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), first, lambda a, _: F.concat(a, F.array(step(F.element_at(a, -1))))) if n > 1 else first
+    return spark.range(1 if n > 0 else 0).select(F.posexplode(values).alias("k", "value"))
+
+
+def unbounded(spark, rows_per_second: int, value) -> DataFrame:
+    """An endless stream (timestamp, k, value) of a function of its row number."""
+    return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select("timestamp", F.col("value").alias("k"), value(F.col("value")).alias("value"))
+
+
 def slices(df: DataFrame, column: str, out: str = "slice") -> DataFrame:
     """Each outermost element of an array as a row."""
     return df.select(*(c for c in df.columns if c != column), F.posexplode(column).alias("index", out))

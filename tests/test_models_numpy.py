@@ -174,7 +174,7 @@ def ridge(x, y, penalty=1.0):
 def all_metrics(score, label):
     log, r = np.log1p(np.abs(score)) - np.log1p(np.abs(label)), label - score
     return {
-        "mae": np.abs(r).mean(), "rmse": math.sqrt((r**2).mean()), "rmsle": math.sqrt((log**2).mean()), "r2": 1 - (r**2).sum() / ((label - label.mean()) ** 2).sum(),
+        "mae": np.abs(r).mean(), "rmse": math.sqrt((r**2).mean()), "rmsle": math.sqrt((log**2).mean()), "msle": (log**2).mean(), "r2": 1 - (r**2).sum() / ((label - label.mean()) ** 2).sum(),
         "pearson": np.corrcoef(score, label)[0, 1], "yield": np.ptp(score) / np.ptp(label), "efficiency": (r**2).mean(), "sigma": r.std(ddof=1), "sigma_ref": math.sqrt(r.var(ddof=1) / (len(r) - 1)), "n": len(r),
     }
 
