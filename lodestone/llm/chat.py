@@ -164,10 +164,16 @@ def loss_text(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, lambda b: F.array_join(F.transform(b["spans"], lambda s: unescape(b["text"].substr(s["start"] + 1, s["length"]))), "")), "")
 
 
-def chat_digests(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Digests of each conversation, all read back from the formatted output."""
-    chats = format_chats(messages, text_parts(F.col(text)), conv, turn, role)
-    read = chats.select(conv, formatted(F.col("blocks")).alias("f"), loss_text(F.col("blocks")).alias("l")).withColumn("ts", read_turns(F.col("f")))
+def chat_digests(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: Column | None = None) -> DataFrame:
+    """Digests of each conversation, all read back from the formatted output.
+
+    ``parts`` (an array of ``PART``) takes the place of the text where messages have typed content.
+    ``n_attachments`` and ``expanded_tokens`` count what the placeholders stand for. Null texts
+    are empty, null conversations one conversation; very long texts are digested whole; repeated
+    rows are turns of their own; no rows, no conversation; other columns aren't read.
+    """
+    chats = format_chats(messages, text_parts(F.col(text)) if parts is None else parts, conv, turn, role)
+    read = chats.select(conv, formatted(F.col("blocks")).alias("f"), loss_text(F.col("blocks")).alias("l"), F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens").withColumn("ts", read_turns(F.col("f")))
     said = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         conv,
@@ -176,4 +182,6 @@ def chat_digests(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.length("l").cast("long").alias("loss_chars"),
         F.sha2("l", 256).alias("loss_sha256"),
         F.length("f").cast("long").alias("formatted_chars"),
+        "n_attachments",
+        "expanded_tokens",
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lodestone.session import new_path
+from lodestone.session import durable, new_path
 
 WIDTH, PAD = 576, 255
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -79,13 +79,14 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
 
 
-def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", roll: int = 64 << 20) -> tuple[int, int]:
-    """Writes each row as a member of an archive below ``path``; returns members and archives.
+def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", roll: int = 64 << 20) -> tuple[int, int, str]:
+    """Writes each row as a member of an archive below ``path``; returns members, archives and a manifest.
 
-    A task rolls to a new archive after ``roll`` bytes. An archive gets its name only once it
-    is whole, and a repeated task puts the same archive in its place, so the loss of an
-    executor leaves no half or doubled archive. Members aren't compressed again. Null texts
-    count as empty; a null id is the word null.
+    A task rolls to a new archive after ``roll`` bytes. An archive gets its name, the attempt in
+    it, only once it is whole; the manifest (a table) names the archives of the attempts that
+    count. So whatever an attempt that was lost or repeated has left is never read. Members
+    aren't compressed again. Null texts count as empty, very long ones are one member, repeated
+    rows are members of their own; a null id has no place in its member's name.
     """
 
     def batches(frames):
@@ -93,33 +94,45 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         store.create_dir(root, recursive=True)
         context = TaskContext.get()
         part, attempt = (context.partitionId(), context.taskAttemptId()) if context else (0, 0)
-        found, archive, out, seq = [0, 0], None, None, 0
+        names, archive, out, seq = [], None, None, 0
+
+        def name():
+            return f"part-{part:06d}-{attempt}-{len(names):04d}.zip"
 
         def close():
             nonlocal archive
             archive.close()
             out.close()
-            store.move(f"{root}/.{attempt}-{part:06d}-{found[1]:04d}", f"{root}/part-{part:06d}-{found[1]:04d}.zip")
-            found[1] += 1
+            store.move(f"{root}/.{name()}.open", f"{root}/{name()}")
+            names.append(name())
             archive = None
 
         for batch in frames:
             for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                 if archive is None:
-                    out = store.open_output_stream(f"{root}/.{attempt}-{part:06d}-{found[1]:04d}")
+                    out = store.open_output_stream(f"{root}/.{name()}.open")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                member = zipfile.ZipInfo(f"{seq}-{'null' if not doc.is_valid else doc.as_py()}.png")
+                member = zipfile.ZipInfo(f"{seq}-{doc.as_py()}.png" if doc.is_valid else f"{seq}.png")
                 archive.writestr(member, to_png(payload_of(text.as_py() or b"")))
                 seq += 1
                 if out.tell() >= roll:
                     close()
         if archive is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([found[1]], pa.int64())], ["members", "archives"])
+        yield pa.RecordBatch.from_arrays([pa.array([seq], pa.int64()), pa.array([names], pa.list_(pa.string()))], ["members", "names"])
+
+    done = docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(batches, "members long, names array<string>")
+    kept: list[str] = []
+    row = durable(done, "manifest", kept).agg(F.coalesce(F.sum("members"), F.lit(0)).alias("m"), F.coalesce(F.sum(F.size("names")), F.lit(0)).alias("a")).first()
+    return row["m"], row["a"], kept[0]
+
 
-    done = docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(batches, "members long, archives long")
-    row = done.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("m"), F.coalesce(F.sum("archives"), F.lit(0)).alias("a")).first()
-    return row["m"], row["a"]
+def manifest_names(path: str) -> list[list[str]]:
+    """The lists of archives that the writing tasks have left."""
+    import pyarrow.dataset as ds
+
+    store, root = filesystem(path)
+    return ds.dataset(root, filesystem=store, format="parquet").to_table(columns=["names"])["names"].to_pylist()
 
 
 class ByteRange(InputPartition):
@@ -138,6 +151,7 @@ class ArchiveReader(DataSourceReader):
         self.split = int(options.get("splitbytes", options.get("splitBytes", 8 << 20)))
         self.batch = int(options.get("batchbytes", options.get("batchBytes", 4 << 20)))
         self.attempts = int(options.get("attempts", 3))
+        self.manifest = options.get("manifest")
 
     def partitions(self) -> list[ByteRange]:
         from pyarrow import fs
@@ -145,6 +159,12 @@ class ArchiveReader(DataSourceReader):
         store, root = filesystem(self.root)
         files = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
         found = sorted((f.path, f.size) for f in files if f.path.endswith(".zip"))
+        if self.manifest:
+            # as many names as archives: what the listing has anyway
+            listed = {n for names in manifest_names(self.manifest) for n in names}
+            found = [(p, n) for p, n in found if p.rpartition("/")[2] in listed]
+            if len(found) != len(listed):
+                raise FileNotFoundError(f"{len(listed) - len(found)} archives of the manifest are missing in {root}")
         return [ByteRange(p, at, min(at + self.split, n)) for p, n in found for at in range(0, n, self.split)] or [ByteRange("", 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -197,7 +217,8 @@ class ArchiveSource(DataSource):
     """``spark.read.format("archives").load(directory)``: archive, offset, name, media.
 
     Options: splitBytes (bytes of an archive for each task), batchBytes (payload for each
-    Arrow batch), attempts (reads of one member before the task fails). A member that stays
+    Arrow batch), attempts (reads of one member before the task fails), manifest (a table of
+    ``write_archives``: only its archives are read, and all of them must be there). A member that stays
     damaged fails its task rather than going missing; an empty or absent directory has no rows.
     """
 
@@ -227,8 +248,8 @@ def media_features(members: DataFrame, id_type: str = "long") -> DataFrame:
                 stored = media.as_py()
                 payload = from_png(stored)
                 sha = lambda b: hashlib.sha256(b).hexdigest()
-                doc = name.as_py().partition("-")[2].removesuffix(".png")
-                rows.append((None if doc == "null" else doc, len(payload.rstrip(bytes([PAD]))), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(stored), sha(stored), feature(payload)))
+                _, named, doc = name.as_py().removesuffix(".png").partition("-")
+                rows.append((doc if named else None, len(payload.rstrip(bytes([PAD]))), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(stored), sha(stored), feature(payload)))
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
@@ -238,8 +259,12 @@ def media_features(members: DataFrame, id_type: str = "long") -> DataFrame:
 
 
 def store_and_describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes ``docs`` as media archives in the shared folder and describes what is read back."""
+    """Writes ``docs`` as media archives in the shared folder and describes what is read back.
+
+    A row for each row, in no order: null texts as empty ones, null ids as null, long texts whole,
+    repeated rows each; an empty table gives no row. An archive that goes missing fails the read.
+    """
     spark = docs.sparkSession
     path = new_path(spark, "archives")
-    write_archives(docs, path, id_col, text_col)
-    return media_features(read_archives(spark, path), dict(docs.dtypes)[id_col]).withColumnRenamed("id", id_col)
+    _, _, manifest = write_archives(docs, path, id_col, text_col)
+    return media_features(read_archives(spark, path, manifest=manifest), dict(docs.dtypes)[id_col]).withColumnRenamed("id", id_col)

@@ -39,7 +39,7 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, width: int) -> list[int]:
         i = queue[0]
         v = value[i] + width - p + cost[j]
         # value holds best + place
-        value[j], origin[j] = v + at[i] - at[i] + p, i
+        value[j], origin[j] = v + p, i
         while queue and value[queue[-1]] >= value[j]:
             queue.pop()
         queue.append(j)

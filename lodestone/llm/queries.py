@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.captures import revisit_digests
 from lodestone.llm.chat import chat_digests
 from lodestone.llm.exact_dedup import exact_groups
 from lodestone.llm.media import store_and_describe
@@ -15,7 +16,6 @@ from lodestone.llm.quality import classify
 from lodestone.llm.sharding import shard_equal_texts
 from lodestone.llm.simhash import simhash_components
 from lodestone.llm.token_counts import count_tokens
-from lodestone.llm.warc import revisit_digests
 
 
 def vocabulary(name: str) -> str:
@@ -129,7 +129,8 @@ SQL: dict[str, str] = {
                    sum(length('<|im_start|>' || esc_role || chr(10) || esc || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
             FROM e GROUP BY conv_id
         )
-        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+               0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
         FROM g
     """,
 }

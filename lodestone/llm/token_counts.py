@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -14,12 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tokenizing import PLAIN, ChunkTable, WordBPE, loaded, read_vocabulary, slices, texts_of
+from lodestone.llm.tokenizing import ChunkTable, WordBPE, loaded, read_vocabulary, slices, texts_of
 
 END = "</w>"
 # What the pre-tokenizer takes as one piece after an apostrophe, and its white space.
 SHORT = frozenset({"s", "t", "m", "d"})
 LONG = {"r": "e", "v": "e", "l": "l"}
+#: What ``WordBPE.parts`` makes of a plain chunk: one pre-token, nothing to compose.
+PART = re.compile("[a-zß-öø-įı-ɏ]+|[.,;:!?*%&$#|]+")
 CONTROLS = frozenset("\t\n\v\f\r\x85")
 
 
@@ -242,7 +245,7 @@ class Reader:
 
 
 class PrefixTable:
-    """chunk → token counts after each of its characters; each distinct chunk is worked out once.
+    """Part of a chunk → token counts after each of its characters; each distinct part is worked out once.
 
     A special string counts as one token once it is whole; till then its characters are text.
     """
@@ -250,33 +253,24 @@ class PrefixTable:
     def __init__(self, words: WordBPE):
         self.words, self.rules = words, Merges(words.library)
         self.special = [t.content for t in words.library.get_added_tokens_decoder().values()]
-        self.runs: dict[str, list[int]] = {}
         self.table = ChunkTable(self._encode)
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        """Counts of new chunks, the last of each held against the library's.
+        """Counts of new parts of chunks, the last of each held against the library's.
 
         They can differ by characters that the library's Unicode tables know otherwise: then its
         own counts of the prefixes are stored.
         """
         library, out = self.words.library, []
-        if len(self.runs) > self.table.limit:
-            self.runs = {}
-        plain = [m for m in map(PLAIN.fullmatch, new) if m]
-        fresh = {m[1].lower() for m in plain} | {m[2] for m in plain}
-        self.runs.update(all_run_counts(self.rules, [r for r in fresh if r not in self.runs]))
-        for chunk, whole in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            found = self.counts(chunk)
+        runs = dict(all_run_counts(self.rules, [p for p in new if PART.fullmatch(p)]))
+        for part, whole in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            found = runs.get(part) or self.counts(part)
             if found and found[-1] != len(whole.ids):
-                found = [len(library.encode(chunk[: n + 1], add_special_tokens=False).ids) for n in range(len(chunk))]
+                found = [len(library.encode(part[: n + 1], add_special_tokens=False).ids) for n in range(len(part))]
             out.append(array("i", found).tobytes())
         return out
 
     def counts(self, chunk: str) -> list[int]:
-        plain = PLAIN.fullmatch(chunk)
-        if plain:
-            word, marks = self._run(plain[1].lower()), plain[2]
-            return [*word, *(word[-1] + n for n in self._run(marks))] if marks else word
         out, at, base = [], 0, 0
         while at < len(chunk):
             found = [(i, s) for s in self.special if (i := chunk.find(s, at)) >= 0]
@@ -293,9 +287,6 @@ class PrefixTable:
             at = stop
         return out
 
-    def _run(self, run: str) -> list[int]:
-        return self.runs.get(run) or run_counts(self.rules, run)
-
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each character of the texts the tokens up to it in its text; and the texts' offsets.
 
@@ -303,23 +294,23 @@ class PrefixTable:
         prefix has the tokens of its whole chunks and those of its last one so far.
         """
         distinct, codes, offsets = self.words.split(texts, True)
-        inside, sizes = self.table.gather(self.table.rows(distinct.to_pylist())[codes])
+        names, pairs = self.words.parts(distinct)
+        # the two parts of a chunk follow each other, then white space, but for a text's last chunk
+        inside, sizes = self.table.gather(self.table.rows(names)[pairs][codes].ravel())
+        white = np.tile(np.array([0, 1]), len(codes))
+        white[2 * offsets[1:][np.diff(offsets) > 0] - 1] = 0
         ends = np.cumsum(sizes)
         last = np.concatenate([[0], inside])[np.where(sizes > 0, ends, 0)]
         before = np.concatenate([[0], np.cumsum(last)])
-        # of a text's chunks all but the last are followed by one white space character
-        white = np.ones(len(codes), np.int64)
-        white[offsets[1:][np.diff(offsets) > 0] - 1] = 0
-        first = np.repeat(before[offsets[:-1]], np.diff(offsets))
-        whole = (before[1:] - first).astype(np.int32)
+        first = np.repeat(before[2 * offsets[:-1]], 2 * np.diff(offsets))
         out = np.empty(int(sizes.sum() + white.sum()), np.int32)
         at = np.cumsum(sizes + white) - white
         held = np.ones(len(out), bool)
         held[at[white > 0]] = False
         out[held] = inside + np.repeat((before[:-1] - first).astype(np.int32), sizes)
-        out[~held] = whole[white > 0]
+        out[~held] = (before[1:] - first).astype(np.int32)[white > 0]
         lengths = np.concatenate([[0], np.cumsum(sizes + white)])
-        return out, lengths[offsets]
+        return out, lengths[2 * offsets]
 
 
 class PrefixCounts:

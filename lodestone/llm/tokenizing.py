@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 MARK = "▁"
 #: A word of Latin letters (without the dotted capital I, which lowers to two characters), whose lower case the tokenizer takes anyway, and marks that are no part of it.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?*%&$#|]*)")
+PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<marks>[.,;:!?*%&$#|]*)$"
 _LOADED: dict = {}
 
 
@@ -113,19 +113,9 @@ class WordBPE:
 
         self.library = Tokenizer.from_str(content.decode())
         self.table = ChunkTable(self._encode)
-        self.parts: dict[str, bytes] = {}
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        """ids of chunks. A Latin word with marks behind it is two pre-tokens: word and marks have entries of their own."""
-        if len(self.parts) > self.table.limit:
-            self.parts = {}
-        matches = [PLAIN.fullmatch(c) for c in new]
-        split = [(m[1].lower(), m[2]) if m else (c, "") for c, m in zip(new, matches, strict=True)]
-        known = self.parts
-        fresh = list({p for pair in split for p in pair if p not in known})
-        found = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-        known.update((p, array("i", e.ids).tobytes()) for p, e in zip(fresh, found, strict=True))
-        return [known[a] + known[b] if b else known[a] for a, b in split]
+        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
 
     def split(self, texts: pa.Array, single: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct chunks, each chunk's place among them, and the texts' offsets into the chunks.
@@ -137,10 +127,26 @@ class WordBPE:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         return coded.dictionary, coded.indices.to_numpy(), offsets - offsets[0]
 
+    @staticmethod
+    def parts(distinct: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Distinct parts of chunks, and each chunk's two: a word in lower case and the marks behind it.
+
+        These are pre-tokens of their own; of any other chunk the first part is the whole, the
+        second empty. A word's entry serves whatever marks it meets.
+        """
+        found = pc.extract_regex(distinct, PLAIN)
+        plain = found.is_valid()
+        word = pc.if_else(plain, pc.utf8_lower(pc.struct_field(found, "word")), distinct)
+        marks = pc.if_else(plain, pc.struct_field(found, "marks"), pa.scalar("", distinct.type))
+        coded = pa.concat_arrays([word, marks]).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy().reshape(2, -1).T
+
     def encode(self, texts: pa.Array, single: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """ids; ids per chunk; distinct chunks; codes; chunk offsets; id offsets of the texts."""
         distinct, codes, offsets = self.split(texts, single)
-        ids, sizes = self.table.gather(self.table.rows(distinct.to_pylist())[codes])
+        names, pairs = self.parts(distinct)
+        ids, sizes = self.table.gather(self.table.rows(names)[pairs][codes].ravel())
+        sizes = sizes.reshape(-1, 2).sum(1)
         before = np.concatenate([[0], np.cumsum(sizes)])
         return ids, sizes, distinct, codes, offsets, before[offsets]
 
@@ -159,6 +165,17 @@ class Pieces:
         self.bos, self.eos, self.lone = lib.bos_id(), lib.eos_id(), lib.piece_to_id(MARK)
         # the library puts a marker before each text it is given: a chunk goes in without its first
         self.table = ChunkTable(lambda new: [array("i", i if c else [self.lone]).tobytes() for c, i in zip(new, lib.encode(new, num_threads=1), strict=True)])
+        self._check()
+
+    #: Texts whose chunks would meet under a normaliser, another marker rule or symbols of the user's.
+    PROBES = (" a", "a ", "a  b", "a b", "▁a ▁", "\ta\n b", "ﬁ Å", "e\u0301 \u0301e", "　a\xa0b", "<s> </s>", "1 2", "A. B", "<unk> <0x0A>", "漢 字")
+
+    def _check(self) -> None:
+        """Refuses a model under which a text isn't the sequence of its chunks."""
+        for text in self.PROBES:
+            (ids,) = self.encode(pa.array([text], pa.large_string()))
+            if ids.tolist() != self.library.encode(text, add_bos=True, add_eos=True):
+                raise ValueError(f"this model's chunks interact: {text!r}")
 
     @staticmethod
     def chunks(text: str) -> list[str]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import scan
+from lodestone.session import durable
+
 #: The header fields that a 304 answer may update (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 PARTS = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -32,47 +35,47 @@ def plain_headers(headers: Column) -> Column:
     return F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]), e["value"])))
 
 
-def latest_before(events: DataFrame, bucket: int) -> DataFrame:
-    """As-of join inside one table: for each revisit the id of the last full response before it.
+def latest_before(events: DataFrame) -> DataFrame:
+    """As-of join inside one table: for each revisit the last full response before it.
 
-    ``events``: id, url, ts (long, microseconds), full (boolean). A URL's rows are dealt by
-    spans of ``bucket`` microseconds: a window looks back inside the span, and what earlier
-    spans leave behind is one row each. So a URL with a third of all rows is many tasks.
-    A response at the same instant isn't earlier; of responses at one instant the largest id
-    counts. Rows without URL or time find nothing.
+    ``events``: at (long, unique), id, url, ts (long, microseconds), full (boolean). All rows are
+    put in the order of URL and time by one range shuffle, and the latest response so far is a
+    running maximum in blocks of positions; what a block leaves behind is one row. So a URL, or
+    an hour of it, with a third of all rows is many tasks. A response at the same instant isn't
+    earlier; of responses at one instant the largest id counts, then the last row. Rows without
+    URL or time find nothing. Gives (at, response): the ``at`` of the response, or null.
     """
-    placed = events.where("url is not null and ts is not null").withColumn("span", F.floor(F.col("ts") / bucket))
-    response = F.when(F.col("full"), F.struct("ts", "id"))
-    inside = Window.partitionBy("url", "span").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    near = placed.withColumn("near", F.max(response).over(inside)).where("not full").select("id", "url", "span", "near")
-    over = Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    left = placed.groupBy("url", "span").agg(F.max(response).alias("last"))
-    carried = left.select("url", "span", F.max("last").over(over).alias("before"))
-    return near.join(carried, ["url", "span"]).select("id", F.coalesce("near", "before")["id"].alias("response"))
+    order = ["url", "ts", "full", "id", "at"]  # at one instant revisits stand before responses
+    placed = events.where("url is not null and ts is not null").select(*order)
+    held = placed.withColumn("__last", F.when(F.col("full"), F.struct("url", "ts", "id", "at")))
+    seen = scan(held, "__last", order, how="max", out="__seen").where("not full")
+    return seen.select("at", F.when(F.col("__seen.url") == F.col("url"), F.col("__seen.at")).alias("response"))
 
 
-def resolve_revisits(records: DataFrame, bucket: int = 3_600_000_000) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit: record_id, url, response_id, outcome, headers, payload.
 
-    ``records``: record_id, warc_type, uri, ts (timestamp), status, headers (map), payload;
-    other columns aren't read. A full response is a ``response`` of status 200. The latest
-    earlier one under the same canonical URL must agree with the revisit's first validator:
-    ETag (W/ aside), else Last-Modified, else WARC-Payload-Digest. ``outcome``: ``resolved``,
-    ``validator_mismatch``, ``no_validator`` or ``no_response``. Only a resolved revisit has
-    payload and headers: the response's, updated by the permitted fields of the revisit.
-    Null headers are none; records repeated with one id stay rows of their own, a repeated
-    response counting once; without revisits the result is empty.
+    ``records``: record_id, warc_type, uri, ts (timestamp), status, headers (map), payload; of
+    other columns only refers_to_uri is read, where there is one: the revisit's target. A full
+    response is a ``response`` of status 200. The latest earlier one under the same canonical URL
+    must agree with the revisit's first validator: ETag (W/ aside), else Last-Modified, else
+    WARC-Payload-Digest. ``outcome``: ``resolved``, ``validator_mismatch``, ``no_validator`` or
+    ``no_response``. Only a resolved revisit has payload and headers: the response's, updated by
+    the permitted fields of the revisit. Null headers are none, null ids ids like any other;
+    records that repeat, or share an id, are rows of their own, each with the answer for its URL
+    and time. Bodies of any length are moved whole. Without revisits the result is empty.
     """
-    base = records.select("record_id", "warc_type", "uri", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "status", "headers", "payload", canonical_url(F.col("uri")).alias("url"))
+    target = F.coalesce(F.col("refers_to_uri"), F.col("uri")) if "refers_to_uri" in records.columns else F.col("uri")
     full = F.coalesce((F.col("warc_type") == "response") & (F.col("status") == 200), F.lit(False))
     revisit = F.coalesce(F.col("warc_type") == "revisit", F.lit(False))
-    narrow = base.where(full | revisit).select(F.col("record_id").alias("id"), "url", "ts", full.alias("full"))
-    # equal ids are at one place and time only if they are copies: one answer each
-    found = latest_before(narrow, bucket).groupBy("id").agg(F.max("response").alias("response_id"))
-    asked = base.where(revisit).select("record_id", "url", plain_headers(F.col("headers")).alias("new"))
-    asked = asked.join(found, F.col("record_id") == F.col("id"), "left").drop("id")
-    answers = base.where(full).select(F.col("record_id").alias("id"), plain_headers(F.col("headers")).alias("old"), "payload").dropDuplicates(["id"])
-    both = asked.join(answers, F.col("response_id") == F.col("id"), "left")
+    base = records.where(full | revisit).select("record_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "headers", "payload", canonical_url(target).alias("url"), full.alias("full"))
+    # written once: rows are known by their places, and the joins below have shuffles of their own
+    stored = durable(base.withColumn("at", F.monotonically_increasing_id()), "records")
+    found = durable(latest_before(stored.select("at", F.col("record_id").alias("id"), "url", "ts", "full")), "found")
+    asked = stored.where("not full").select("at", "record_id", "url", "headers").join(found, "at", "left")
+    asked = durable(asked.select("record_id", "url", "response", plain_headers(F.col("headers")).alias("new")), "asked")
+    answers = stored.where("full").select(F.col("at").alias("response"), F.col("record_id").alias("response_id"), plain_headers(F.col("headers")).alias("old"), "payload")
+    both = asked.join(answers, "response", "left")
     tag = lambda m: F.regexp_replace(F.try_element_at(m, F.lit("etag")), "^W/", "")
     field = lambda m, k: F.try_element_at(m, F.lit(k))
     new, old = F.col("new"), F.col("old")
@@ -83,43 +86,9 @@ def resolve_revisits(records: DataFrame, bucket: int = 3_600_000_000) -> DataFra
         F.lit(False),
     )
     has = F.coalesce(field(new, "etag"), field(new, "last-modified"), field(new, "warc-payload-digest")).isNotNull()
-    outcome = F.when(F.col("response_id").isNull(), "no_response").when(~has, "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")
+    outcome = F.when(F.col("response").isNull(), "no_response").when(~has, "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")
     update = F.map_filter(new, lambda k, _: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(update, k)), update)
     judged = both.withColumn("outcome", outcome)
     sure = F.col("outcome") == "resolved"
     return judged.select("record_id", "url", "response_id", "outcome", F.when(sure, merged).alias("headers"), F.when(sure, F.col("payload")).alias("payload"))
-
-
-def captures(pages: DataFrame) -> DataFrame:
-    """Each page as a full response and as a revisit one day later, with validators that hold, fail or lack.
-
-    Pages stand a minute apart by their ids, so pages of one canonical URL are candidates for
-    each other's revisits. By the id's last digit the revisit has a stale ETag (0), only
-    Last-Modified (1), only a digest (2), no validator (3), or the right ETag.
-    """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    digest = F.md5(html)
-    digit = F.col("page_id") % 10
-    seconds = F.lit(1_700_000_000) + F.col("page_id") * 60
-    text = lambda s: F.lit(s)
-    common = [text("date"), F.concat(F.lit("t"), seconds.cast("string")), text("content-length")]
-    response = F.create_map(text("Content-Type"), text("text/html"), text("ETag"), digest, text("Last-Modified"), F.concat(F.lit("m"), digest), text("WARC-Payload-Digest"), F.concat(F.lit("md5:"), digest), *common, F.octet_length(html).cast("string"))
-    day = [text("date"), F.concat(F.lit("t"), (seconds + 86_400).cast("string")), text("content-length"), text("0"), text("cache-control"), text("max-age=60")]
-    revisit = (
-        F.when(digit == 0, F.create_map(text("etag"), text("stale"), *day))
-        .when(digit == 1, F.create_map(text("last-modified"), F.concat(F.lit("m"), digest), *day))
-        .when(digit == 2, F.create_map(text("warc-payload-digest"), F.concat(F.lit("md5:"), digest), *day))
-        .when(digit == 3, F.create_map(*day))
-        .otherwise(F.create_map(text("etag"), F.concat(F.lit("W/"), digest), *day))
-    )
-    one = pages.select((F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("uri"), F.timestamp_seconds(seconds).alias("ts"), F.lit(200).alias("status"), response.alias("headers"), html.alias("payload"))
-    two = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("warc_type"), F.concat(F.col("url"), F.lit("#again")).alias("uri"), F.timestamp_seconds(seconds + 86_400).alias("ts"), F.lit(304).alias("status"), revisit.alias("headers"), F.lit(None).cast("string").alias("payload"))
-    return one.unionByName(two)
-
-
-def revisit_digests(pages: DataFrame) -> DataFrame:
-    """What each revisit resolves to, its headers as sorted lines and its payload as a digest."""
-    out = resolve_revisits(captures(pages))
-    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
-    return out.select("record_id", "url", "response_id", "outcome", lines.alias("headers"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"))
