@@ -145,13 +145,12 @@ def haar(x: Column, order: int) -> Column:
 
 
 def inverse_haar(y: Column, order: int) -> Column:
-    return _multiply(haar_matrix(order).T, y)
+    return scalar.let(y, lambda v: _multiply(haar_matrix(order).T, v))
 
 
 def grouped_haar(x: Column, order: int) -> Column:
     """Coefficients as an array of levels: the mean, then details from coarse to fine."""
-    y = haar(x, order)
-    return F.array(F.slice(y, 1, 1), *(F.slice(y, (1 << k) + 1, 1 << k) for k in range(order)))
+    return scalar.let(haar(x, order), lambda y: F.array(F.slice(y, 1, 1), *(F.slice(y, (1 << k) + 1, 1 << k) for k in range(order))))
 
 
 def wavelet(mother):

@@ -152,10 +152,10 @@ def _(t: Tables):
     return rounded(x(t).select("event_id", F.when((v >= 2) & (v < 3), total).alias("unity"), F.when(v < 1, linear[1]).otherwise(F.lit(0.0) * square[0]).alias("first")))
 
 
-@query("F21_radial", "SELECT vec_id, round(exp(-r * r / 2), 6) AS gaussian, round(exp(-r), 6) AS laplacian, round(sqrt(1 + r * r), 6) AS multiquadric, round((1 + sqrt(3) * r) * exp(-sqrt(3) * r), 6) AS matern FROM (SELECT vec_id, sqrt(pow(embedding[1]::DOUBLE - 0.5, 2) + pow(embedding[2]::DOUBLE, 2)) / 2 AS r FROM embeddings)")
+@query("F21_radial", "SELECT vec_id, round(exp(-r * r / 2), 6) AS gaussian, round(exp(-r), 6) AS laplacian, round(sqrt(1 + r * r), 6) AS multiquadric, round((1 + sqrt(3) * r) * exp(-sqrt(3) * r), 6) AS matern FROM (SELECT vec_id, sqrt(list_sum([pow(v, 2) for v in CAST(embedding AS DOUBLE[])]) - embedding[1]::DOUBLE + 0.25) / 2 AS r FROM embeddings)")
 def _(t: Tables):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 2)
-    one = lambda k, p=0.5: bases.radial(k, [[0.5, 0.0]], 2.0, p)(e)[0].alias(k)
+    e = F.col("embedding").cast("array<double>")
+    one = lambda k, p=0.5: bases.radial(k, [[0.5, *[0.0] * 63]], 2.0, p)(e)[0].alias(k)
     return rounded(t.embeddings.select("vec_id", one("gaussian"), one("laplacian"), one("multiquadric"), one("matern", 1)))
 
 
@@ -176,11 +176,11 @@ def _(t: Tables):
     return rounded(w.select("vec_id", F.col("y")[0].alias("mean"), scalar.dot(F.col("y"), F.col("y")).alias("energy"), F.col("y")[63].alias("last")))
 
 
-@query("F24_haar_inverse", "SELECT vec_id, [round(v, 6) for v in CAST(embedding[1:8] AS DOUBLE[])] AS back FROM embeddings")
+@query("F24_haar_inverse", "SELECT vec_id, [round(v, 6) for v in CAST(embedding AS DOUBLE[])] AS back FROM embeddings")
 def _(t: Tables):
-    e = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    y = t.embeddings.select("vec_id", F.flatten(bases.grouped_haar(e, 3)).alias("y"))
-    return y.select("vec_id", F.transform(bases.inverse_haar(F.col("y"), 3), lambda v: F.round(v, 6) + 0.0).alias("back"))
+    e = F.col("embedding").cast("array<double>")
+    y = t.embeddings.select("vec_id", F.flatten(bases.grouped_haar(e, 6)).alias("y"))
+    return y.select("vec_id", F.transform(bases.inverse_haar(F.col("y"), 6), lambda v: F.round(v, 6) + 0.0).alias("back"))
 
 
 @query("F25_wavelet", f"SELECT event_id, round(CASE WHEN u >= 0 AND u < 0.5 THEN 1 WHEN u >= 0.5 AND u < 1 THEN -1 ELSE 0 END / sqrt(2), 6) AS psi FROM (SELECT event_id, (x + 1) / 2 AS u FROM {X})")
@@ -333,11 +333,11 @@ def _(t: Tables):
     return rounded(kernels.matrix(vectors(t), kernels.rbf(2.0)))
 
 
-@query("J5_cross_matrix", "SELECT x.vec_id AS i, y.n_nationkey AS j, round(exp(-pow(CAST(x.embedding[1] AS DOUBLE) - y.n_regionkey, 2) / 2), 6) AS v FROM embeddings x, nation y")
+@query("J5_cross_matrix", "SELECT x.vec_id AS i, y.n_nationkey AS j, round(exp(-list_sum([pow(v - y.n_regionkey / 10, 2) for v in CAST(x.embedding AS DOUBLE[])]) / 128), 6) AS v FROM embeddings x, nation y")
 def _(t: Tables):
-    a = t.embeddings.select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 1).alias("x"))
-    b = t.nation.select(F.col("n_nationkey").alias("id"), F.array(F.col("n_regionkey").cast("double")).alias("x"))
-    return rounded(kernels.cross_matrix(a, b, kernels.rbf(1.0)))
+    a = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    b = t.nation.select(F.col("n_nationkey").alias("id"), F.array_repeat(F.col("n_regionkey") / 10.0, 64).alias("x"))
+    return rounded(kernels.cross_matrix(a, b, kernels.rbf(8.0)))
 
 
 @query("N25_kronecker", "SELECT n_nationkey, round(exp(-pow(n_nationkey, 2)) * exp(-pow(n_regionkey, 2) / 2), 6) AS k FROM nation")

@@ -80,10 +80,10 @@ def _(t: Tables):
     return feeds.cache(t.region, "file")
 
 
-@query("S19_tensors", "SELECT vec_id, list_concat(CAST(embedding[1:3] AS DOUBLE[]), CAST(embedding[4:6] AS DOUBLE[])) AS data, CAST(2 AS INTEGER) AS first FROM embeddings")
+@query("S19_tensors", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS data, CAST(2 AS INTEGER) AS first FROM embeddings")
 def _(t: Tables):
     e = F.col("embedding").cast("array<double>")
-    a, b = feeds.tensor(F.slice(e, 1, 3), [3]), feeds.tensor(F.slice(e, 4, 3), [3])
+    a, b = feeds.tensor(F.slice(e, 1, 32), [32]), feeds.tensor(F.slice(e, 33, 32), [32])
     s = feeds.stack(a, b)
     return t.embeddings.select("vec_id", s["data"].alias("data"), s["shape"][0].alias("first"))
 
@@ -232,9 +232,9 @@ def _(t: Tables):
     return joins.pairs(t.region, t.nation).select("r_regionkey", "n_nationkey", (F.col("r_regionkey") * F.col("n_nationkey")).alias("v"))
 
 
-@query("J8_renyi_entropy", "SELECT round(-ln(avg(exp(-list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2) / pow(sqrt(2 * pi()), 4))), 6) AS entropy FROM (SELECT CAST(embedding[1:4] AS DOUBLE[]) AS e FROM embeddings) a, (SELECT CAST(embedding[1:4] AS DOUBLE[]) AS e FROM embeddings) b")
+@query("J8_renyi_entropy", "SELECT round(-ln(avg(exp(-list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2) / pow(sqrt(2 * pi()), 64))), 6) AS entropy FROM (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings) b")
 def _(t: Tables):
-    e = t.embeddings.select(F.slice("embedding", 1, 4).cast("array<double>").alias("e"))
+    e = t.embeddings.select(F.col("embedding").cast("array<double>").alias("e"))
     return joins.renyi_entropy(e, "e", 1.0).select(F.round("entropy", 6).alias("entropy"))
 
 
@@ -280,16 +280,16 @@ def _(t: Tables):
     return ordered.concatenate(t.nation.select(F.col("n_name").alias("v")), t.region.select(F.col("r_name").alias("v")))
 
 
-@query("U5_tensor_concatenate", "SELECT vec_id, CAST(embedding[1:6] AS DOUBLE[]) AS data FROM embeddings")
+@query("U5_tensor_concatenate", "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS data FROM embeddings")
 def _(t: Tables):
     e = F.col("embedding").cast("array<double>")
-    c = feeds.concatenate(feeds.tensor(F.slice(e, 1, 3), [3]), feeds.tensor(F.slice(e, 4, 3), [3]))
+    c = feeds.concatenate(feeds.tensor(F.slice(e, 1, 24), [24]), feeds.tensor(F.slice(e, 25, 40), [40]))
     return t.embeddings.select("vec_id", c["data"].alias("data"))
 
 
-@query("U5_unstack", "SELECT vec_id, CAST(i AS INTEGER) AS index, CAST(embedding[i * 3 + 1 : i * 3 + 3] AS DOUBLE[]) AS data FROM embeddings, range(2) r(i)")
+@query("U5_unstack", "SELECT vec_id, CAST(i AS INTEGER) AS index, CAST(embedding[i * 16 + 1 : i * 16 + 16] AS DOUBLE[]) AS data FROM embeddings, range(4) r(i)")
 def _(t: Tables):
-    whole = feeds.tensor(F.slice(F.col("embedding").cast("array<double>"), 1, 6), [2, 3])
+    whole = feeds.tensor(F.col("embedding").cast("array<double>"), [4, 16])
     return t.embeddings.select("vec_id", F.posexplode(feeds.unstack(whole)).alias("index", "t")).select("vec_id", "index", F.col("t.data").alias("data"))
 
 

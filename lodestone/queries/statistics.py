@@ -21,10 +21,10 @@ def _(t: Tables):
     return t.events.agg(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("top"))
 
 
-@query("A2_reducers", "SELECT vec_id, round(list_sum(e), 6) AS total, round(list_product([1 + x / 10 for x in e]), 6) AS product, round(e[1] * 1 + e[2] * 2 + e[3] * 3, 6) AS weighted FROM (SELECT vec_id, CAST(embedding[1:3] AS DOUBLE[]) AS e FROM embeddings)")
+@query("A2_reducers", "SELECT vec_id, round(list_sum(e), 6) AS total, round(list_product([1 + x / 10 for x in e]), 6) AS product, round(list_sum([z[1] * z[2] for z in list_zip(e, [i + 1.0 for i in range(64)])]), 6) AS weighted FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def _(t: Tables):
-    e = F.slice("embedding", 1, 3).cast("array<double>")
-    return rounded(t.embeddings.select("vec_id", stats.array_sum(e).alias("total"), stats.array_product(F.transform(e, lambda x: 1 + x / 10)).alias("product"), stats.array_weighted(e, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("weighted")))
+    e = F.col("embedding").cast("array<double>")
+    return rounded(t.embeddings.select("vec_id", stats.array_sum(e).alias("total"), stats.array_product(F.transform(e, lambda x: 1 + x / 10)).alias("product"), stats.array_weighted(e, F.array(*(F.lit(k + 1.0) for k in range(64)))).alias("weighted")))
 
 
 @query("A3_dimension_stats", "SELECT CAST(d AS INTEGER) AS dim, count(x) AS n, round(avg(x), 6) AS mean, round(var_samp(x), 6) AS variance, min(x) AS min, max(x) AS max FROM (SELECT unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY d")
@@ -226,7 +226,7 @@ def _(t: Tables):
     return rounded(metrics.fidelity(t.labels, "quality", "toxic"))
 
 
-DIST = "(SELECT list_transform(p, lambda x: x / list_sum(p)) AS p, list_transform(q, lambda x: x / list_sum(q)) AS q FROM (SELECT list_transform(CAST(embedding[1:4] AS DOUBLE[]), lambda x: x * x + 0.01) AS p, list_transform(CAST(embedding[5:8] AS DOUBLE[]), lambda x: x * x + 0.01) AS q FROM embeddings))"
+DIST = "(SELECT list_transform(p, lambda x: x / list_sum(p)) AS p, list_transform(q, lambda x: x / list_sum(q)) AS q FROM (SELECT list_transform(CAST(embedding[1:32] AS DOUBLE[]), lambda x: x * x + 0.01) AS p, list_transform(CAST(embedding[33:64] AS DOUBLE[]), lambda x: x * x + 0.01) AS q FROM embeddings))"
 
 
 @query("E27_divergences", f"""
@@ -238,5 +238,5 @@ DIST = "(SELECT list_transform(p, lambda x: x / list_sum(p)) AS p, list_transfor
 def _(t: Tables):
     e = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * x + 0.01)
     unit = lambda c: F.transform(c, lambda x: x / stats.array_sum(c))
-    d = t.embeddings.select(F.slice(e, 1, 4).alias("p"), F.slice(e, 5, 4).alias("q")).select(unit(F.col("p")).alias("p"), unit(F.col("q")).alias("q"))
+    d = t.embeddings.select(F.slice(e, 1, 32).alias("p"), F.slice(e, 33, 32).alias("q")).select(unit(F.col("p")).alias("p"), unit(F.col("q")).alias("q"))
     return rounded(metrics.divergences(d, "p", "q"))
