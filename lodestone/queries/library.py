@@ -292,7 +292,7 @@ KERNELS = {
     "N3_mahalanobis": (kernels.mahalanobis([2.0] * 32), "exp(-s2 / 8)"),
     "N5_laplacian": (kernels.laplacian(3.0), "exp(-s1 / 3)"),
     "N6_cauchy": (kernels.cauchy(2.0), "1 / (1 + s2 / 4)"),
-    "N7_rational_quadratic": (kernels.rational_quadratic(2.0, 3.0), "pow(1 + s2 / 12, -5.5)"),
+    "N7_rational_quadratic": (kernels.rational_quadratic(2.0, 3.0), "pow(1 + s2 / 12, -17.5)"),
     "N8_student_t": (kernels.student_t(3.0), "1 / (1 + pow(sqrt(s2), 3))"),
     "N9_polynomial": (kernels.polynomial(2.0, 0.5), "pow(d + 0.5, 2)"),
     "N10_linear": (kernels.linear(1.0), "d + 1"),
