@@ -7,7 +7,6 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -53,12 +52,16 @@ def opens(c: str) -> bool:
     return c < "\u0300" or (unicodedata.combining(c) == 0 and c not in joining())
 
 
+SHORTEST = (2, 1)
+
+
 def _sizes(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
-    """By their last two letters the lengths of tokens, the longest first; a single letter ends any."""
+    """By their last three letters the lengths of tokens, the longest first; then two letters and one."""
     found: dict[str, set[int]] = {}
     for s in table:
-        found.setdefault(s[-2:], {1}).add(len(s))
-    return {tail: tuple(sorted(n, reverse=True)) for tail, n in found.items()}
+        if len(s) > 2:
+            found.setdefault(s[-3:], set()).add(len(s))
+    return {tail: (*sorted(n, reverse=True), *SHORTEST) for tail, n in found.items()}
 
 
 class Merges:
@@ -85,14 +88,36 @@ class Merges:
                 self.rank[t], self.left[t], self.right[t] = r, u, v
         self.open = {s: i for s, i in self.ids.items() if not s.endswith(END)}
         self.closed = {s.removesuffix(END): i for s, i in self.ids.items() if s.endswith(END)}
-        self.sizes = {id(d): _sizes(d) for d in (self.open, self.closed)}
+        self.open_sizes, self.closed_sizes = _sizes(self.open), _sizes(self.closed)
         self.bytes = library.pre_tokenizer[1]
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.known: dict[int, bool] = {}
+        self.spelled: dict[str, str] = {}
 
-    @lru_cache(1 << 16)  # noqa: B019  (lives as long as the worker)
     def letters(self, c: str) -> str:
         """The characters that stand for a character's bytes."""
-        return "".join(p for p, _ in self.bytes.pre_tokenize_str(c))
+        if c not in self.spelled:
+            self.spelled[c] = "".join(p for p, _ in self.bytes.pre_tokenize_str(c))
+        return self.spelled[c]
+
+    def find(self, table: dict[str, int], sizes: dict[str, tuple[int, ...]], word: str, i: int, last: list[int]) -> tuple[int, int]:
+        """(id, letters) of the token of ``table`` that ends at letter i and fits what is before it."""
+        known = self.known
+        for n in sizes.get(word[i - 3 : i] if i > 2 else "", SHORTEST):
+            t = table.get(word[i - n : i]) if n <= i else None
+            if t is None:
+                continue
+            u = last[i - n]
+            if u < 0:
+                return t, n
+            pair = u << 20 | t
+            fit = known.get(pair)
+            if fit is None:
+                if len(known) > 1 << 18:
+                    known.clear()
+                fit = known[pair] = self._fits(u, t)
+            if fit:
+                return t, n
+        raise ValueError("no token ends here: the vocabulary lacks a byte")
 
     def _fits(self, u: int, t: int) -> bool:
         """No merge reaches across the border of u and t at any time.
@@ -131,30 +156,19 @@ class Run:
             self.word = self.word[:at]
             del self.last[at + 1 :], self.opened[at + 1 :]
 
-    def _token(self, table: dict[str, int], i: int) -> tuple[int, int]:
-        """(id, letters) of the token of ``table`` that ends at letter i and fits what is before it."""
-        word, last, fits = self.word, self.last, self.rules.fits
-        for n in self.rules.sizes[id(table)].get(word[max(0, i - 2) : i], (1,)):
-            t = table.get(word[i - n : i]) if n <= i else None
-            if t is not None:
-                u = last[i - n]
-                if u < 0 or fits(u, t):
-                    return t, n
-        raise ValueError("no token ends here: the vocabulary lacks a byte")
-
     def add(self, letters: str) -> None:
-        i = len(self.word)
+        rules, i = self.rules, len(self.word)
         self.word += letters
         for i in range(i + 1, len(self.word) + 1):
-            t, n = self._token(self.rules.open, i)
+            t, n = rules.find(rules.open, rules.open_sizes, self.word, i, self.last)
             self.last.append(t)
             self.opened.append(self.opened[i - n] + 1)
         self.ends.append(len(self.word))
 
     def count(self) -> int:
         """Tokens of the run as a whole pre-token."""
-        i = len(self.word)
-        return self.opened[i - self._token(self.rules.closed, i)[1]] + 1 if i else 0
+        rules, i = self.rules, len(self.word)
+        return self.opened[i - rules.find(rules.closed, rules.closed_sizes, self.word, i, self.last)[1]] + 1 if i else 0
 
 
 def run_counts(rules: Merges, run: str) -> list[int]:
@@ -164,14 +178,24 @@ def run_counts(rules: Merges, run: str) -> list[int]:
 
 def all_run_counts(rules: Merges, runs: list[str]):
     """(run, ``run_counts``) of all, in order: what a run shares with the one before is worked out once."""
-    state, before, counts = Run(rules), "", []
+    find, letters, spelled = rules.find, rules.letters, rules.spelled
+    opened_by, open_sizes, closed_by, closed_sizes = rules.open, rules.open_sizes, rules.closed, rules.closed_sizes
+    before, word, last, opened, ends, counts = "", "", [-1], [0], [0], []
     for run in sorted(runs):
-        same = len(commonprefix((before, run)))
-        state.cut(same)
-        del counts[same:]
+        same, most = 0, min(len(run), len(before))
+        while same < most and run[same] == before[same]:
+            same += 1
+        i = ends[same]
+        del counts[same:], ends[same + 1 :], last[i + 1 :], opened[i + 1 :]
+        word = word[:i]
         for c in run[same:]:
-            state.add(rules.letters(c))
-            counts.append(state.count())
+            word += spelled.get(c) or letters(c)
+            for i in range(i + 1, len(word) + 1):
+                t, n = find(opened_by, open_sizes, word, i, last)
+                last.append(t)
+                opened.append(opened[i - n] + 1)
+            ends.append(i)
+            counts.append(opened[i - find(closed_by, closed_sizes, word, i, last)[1]] + 1)
         before = run
         yield run, list(counts)
 
@@ -256,19 +280,19 @@ class PrefixTable:
         self.table = ChunkTable(self._encode)
 
     def _encode(self, new: list[str]) -> list[bytes]:
-        """Counts of new parts of chunks, the last of each held against the library's.
+        """Counts of new parts of chunks.
 
-        They can differ by characters that the library's Unicode tables know otherwise: then its
-        own counts of the prefixes are stored.
+        What may hold characters that the library's Unicode tables know otherwise (all but plain
+        words and marks) is held against the library's own count, and takes its counts if they differ.
         """
-        library, out = self.words.library, []
-        runs = dict(all_run_counts(self.rules, [p for p in new if PART.fullmatch(p)]))
-        for part, whole in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            found = runs.get(part) or self.counts(part)
-            if found and found[-1] != len(whole.ids):
-                found = [len(library.encode(part[: n + 1], add_special_tokens=False).ids) for n in range(len(part))]
-            out.append(array("i", found).tobytes())
-        return out
+        library = self.words.library
+        found = dict(all_run_counts(self.rules, [p for p in new if PART.fullmatch(p)]))
+        other = [p for p in new if p not in found]
+        for part, whole in zip(other, library.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            found[part] = self.counts(part)
+            if part and found[part][-1] != len(whole.ids):
+                found[part] = [len(library.encode(part[: n + 1], add_special_tokens=False).ids) for n in range(len(part))]
+        return [array("i", found[p]).tobytes() for p in new]
 
     def counts(self, chunk: str) -> list[int]:
         out, at, base = [], 0, 0
