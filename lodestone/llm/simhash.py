@@ -9,30 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
+from lodestone.llm.similar import drop_similar
+from lodestone.llm.words import spans
 from lodestone.session import durable
 
 SEED = 42
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Row v: the eight bits of byte v, lowest first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Hashes held at once: the memory of a text doesn't grow with its length beyond its words.
 BLOCK = 1 << 18
 
 
-def spans(text: bytes, words_per: int) -> tuple[bytes, list[int], list[int]]:
-    """The words in lower case (ASCII) with single blanks, and where each shingle starts and ends."""
-    words = text.translate(LOWER).split()
-    line = b" ".join(words)
-    n = len(words)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    ends = ends.tolist()
-    if n > words_per:
-        return line, starts[: n - words_per + 1], ends[words_per - 1 :]
-    return line, starts[:1], ends[-1:]
-
-
 def fingerprint(text: bytes, words_per: int = 3) -> int:
     """64 bits; a bit is 1 if set in over half the hashes of the word shingles, repeats included."""
     line, starts, ends = spans(text, words_per)
@@ -147,8 +134,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near_groups(docs, id_col, text_col).select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of linked fingerprints: the one of the smallest id."""
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words_per: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one of the smallest id.
+
+    Without ``similarity`` copies are linked by fingerprints of at most 3 differing bits. With it
+    they are those whose sets of ``words_per`` words reach that Jaccard similarity: so far apart
+    64 bits say too little (``lodestone.llm.similar``), and the sets' own tables and parity
+    fingerprints take their place. Nulls, repeats and empty tables are as in ``near_groups``.
+    """
+    if similarity is not None:
+        return drop_similar(docs, similarity, words_per, id_col, text_col)
     stored = durable(docs.withColumn("__at", F.monotonically_increasing_id()), "documents")
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__at").alias("at"))
     groups = near_groups(stored.select(order.alias("__order"), F.col(text_col)), "__order", text_col)
