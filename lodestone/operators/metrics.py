@@ -49,6 +49,15 @@ def multi_regression_metrics(df: DataFrame, p: str = "scores", y: str = "labels"
     return regression_metrics(long.select("output", F.col("v.p").alias("score"), F.col("v.y").alias("label")), by=["output"])
 
 
+def multi_spearman(df: DataFrame, outputs: int, p: str = "scores", y: str = "labels") -> DataFrame:
+    """(output, spearman) of array-valued predictions: each output's ranks are taken over all rows, in blocks."""
+    out = None
+    for k in range(outputs):
+        one = spearman(df.select(F.col(p)[k].alias("score"), F.col(y)[k].alias("label"))).select(F.lit(k).alias("output"), "spearman")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def merge_scores(a: DataFrame, b: DataFrame) -> DataFrame:
     """Metrics over both sets of scores are metrics of the union."""
     return a.unionByName(b)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from lodestone.functions import distributions as dist
 from lodestone.functions import kernels
 from lodestone.operators import metrics, ordered, pipes, scalers
-from lodestone.plans import glm, gram, models, nets, processes
-from lodestone.queries.learning import BY, quality, series
+from lodestone.plans import fields, glm, gram, models, nets, processes, tuning
+from lodestone.queries.learning import BY, name, process_energy, quality, series, stream
 from lodestone.queries.library import X, x
 from lodestone.queries.more import RIDGE
 from lodestone.queries.registry import Tables, query
 from lodestone.queries.statistics import rounded, rounded_metrics
 from lodestone.session import durable, new_path
 from lodestone.sources import feeds, text
+from lodestone.streaming import tables as streams
 
 # -- scaling, pipes, sources -----------------------------------------------------------------------
 
@@ -122,6 +123,70 @@ def _(t: Tables):
     return rounded(out, 5)
 
 
+@query("M21_prior_sampling")
+def _(t: Tables):
+    """Widths drawn from a prior, each judged by the energies of all users' processes."""
+    rng = np.random.default_rng(3)
+    found = tuning.landscape_by_group(series(t), "user_id", [{"b": float(rng.gamma(2.0, 0.5))} for _ in range(6)], process_energy)
+    return rounded(found.select(F.col("config")["b"].alias("b"), "energy"), 3)
+
+
+@query("E24_spearman_outputs", """
+    WITH r AS (SELECT output, rank() OVER (PARTITION BY output ORDER BY p) + (count(*) OVER (PARTITION BY output, p) - 1) / 2 AS a, rank() OVER (PARTITION BY output ORDER BY y) + (count(*) OVER (PARTITION BY output, y) - 1) / 2 AS b
+               FROM (SELECT unnest([0, 1]) AS output, unnest([l_quantity, l_discount]) AS p, unnest([l_extendedprice, l_tax]) AS y FROM lineitem))
+    SELECT CAST(output AS INTEGER) AS output, round(corr(a, b), 6) AS spearman FROM r GROUP BY output""")
+def _(t: Tables):
+    d = t.lineitem.select(F.array("l_quantity", "l_discount").alias("scores"), F.array("l_extendedprice", "l_tax").alias("labels"))
+    return rounded(metrics.multi_spearman(d, 2))
+
+
+@query("M5_generalised_least_squares", """
+    WITH d AS (SELECT s_nationkey::DOUBLE AS x, s_acctbal AS y, 1.0 + s_suppkey % 3 AS v FROM supplier),
+    g AS (SELECT sum(x * x / v) AS a, sum(x / v) AS b, sum(1 / v) AS c, sum(x * y / v) AS p, sum(y / v) AS q FROM d)
+    SELECT round((c * p - b * q) / (a * c - b * b), 4) AS slope, round((a * q - b * p) / (a * c - b * b), 4) AS intercept FROM g""")
+def _(t: Tables):
+    """A full covariance matrix of the errors (here a diagonal one), on a gathered set."""
+    d = t.supplier.select(F.array(F.col("s_nationkey").cast("double"), F.lit(1.0) + F.col("s_suppkey") % 3).alias("features"), F.col("s_acctbal").alias("target"))
+    z, y = processes.gather(d)
+    w = glm.generalised_least_squares(np.column_stack([z[:, 0], np.ones(len(z))]), y, np.diag(z[:, 1]))
+    return t.spark.createDataFrame([(round(float(w[0]), 4), round(float(w[1]), 4))], "slope double, intercept double")
+
+
+GRID = "(SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, sin(i) * j::DOUBLE AS u FROM range(12) a(i), range(10) b(j))"
+
+
+def grid(t: Tables):
+    d = t.spark.range(120).select(F.floor(F.col("id") / 10).alias("i"), (F.col("id") % 10).alias("j"))
+    return d.withColumn("u", F.sin("i") * F.col("j"))
+
+
+@query("M32_heat_step", f"""
+    SELECT i, j, round(coalesce(u + 0.05 * ((a + b - 2 * u) / 1.0 + (c + d - 2 * u) / 0.25), u), 6) AS u FROM (
+        SELECT *, lag(u) OVER x AS a, lead(u) OVER x AS b, lag(u) OVER y AS c, lead(u) OVER y AS d FROM {GRID} WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j))""")
+def _(t: Tables):
+    return rounded(fields.heat_step(grid(t), ["i", "j"], "u", [1.0, 0.5], 0.05))
+
+
+def timed(t: Tables):
+    """The stream of events with instants, as watermarks want them."""
+    return stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("X1_streaming_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(t: Tables):
+    done = streams.drain(streams.windowed(timed(t), "ts", "value", ["event_type"], "1 day", late="1000 days"), name(), "complete")
+    return rounded(done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), 4)
+
+
+@query("X1_streaming_sessions", """
+    WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def _(t: Tables):
+    done = streams.drain(streams.sessions(timed(t), "ts", ["user_id"], "1 day", late="1000 days"), name(), "complete")
+    return done.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+
+
 # -- networks and layers ---------------------------------------------------------------------------
 
 

@@ -92,3 +92,44 @@ def test_rows_and_back(spark):
     assert pipes.foreach(lambda r: seen.add(r["id"]))(df).count() == 10 and seen.value == 45
     again = (pipes.to_rows() >> pipes.to_frame(spark, "id long"))(df)
     assert again.agg(F.sum("id")).first()[0] == 45
+
+
+def test_options_and_contracts(tmp_path):
+    from dataclasses import dataclass
+
+    from lodestone import options
+    from lodestone.plans import contracts
+
+    @dataclass
+    class Run:
+        path: str = options.option(exists=True)
+        step: float = options.option(0.3, positive=True)
+        size: int = options.option(3, within=(1, 10))
+        kind: str = options.option("grid", choices=("grid", "annealing"))
+        quiet: bool = options.option(False)
+
+    settings = tmp_path / "run.properties"
+    settings.write_text(f"# a run\npath = {tmp_path}\nstep=0.5\nquiet=true\nother=1\n")
+    got = options.parse(Run, ["--step", "0.25", "--size", "7"], options.properties(str(settings)))
+    assert got == Run(str(tmp_path), 0.25, 7, "grid", True)
+    for wrong in (["--step", "-1"], ["--size", "11"], ["--kind", "x"], ["--path", "/nowhere/at/all"]):
+        with pytest.raises(ValueError):
+            options.parse(Run, wrong, options.properties(str(settings)))
+    with pytest.raises(ValueError, match="path"):
+        options.parse(Run, [])
+    p = processes.GaussianProcess(gram.kernel("rbf", b=1.0), gram.kernel("dirac", noise=0.1), np.zeros((1, 1)), np.zeros(1))
+    assert isinstance(p, contracts.Optimizable) and isinstance(p, contracts.Posterior) and isinstance(nets.Model([1, 1], ["linear"]), contracts.Predictor)
+
+
+def test_prior_sampling(spark):
+    from test_models_numpy import energy
+
+    from lodestone.queries.learning import series
+    from lodestone.queries.registry import Tables as T
+
+    users = {}
+    for r in sorted(series(T(spark, "/root/testdata/sf0.001")).collect(), key=lambda r: r["event_id"]):
+        users.setdefault(r["user_id"], []).append((r["features"], r["target"]))
+    for r in library.QUERIES["M21_prior_sampling"](spark, "/root/testdata/sf0.001").collect():
+        total = sum(energy(np.array([x for x, _ in g]), np.array([y for _, y in g]), r["b"], 0.5) for g in users.values())
+        assert r["energy"] == pytest.approx(total, rel=1e-3)
