@@ -45,6 +45,18 @@ def log1p_exp(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of whole numbers: Euclid's steps, of which 64-bit numbers need 92 at most."""
+    start = F.struct(F.abs(a).cast("long").alias("a"), F.abs(b).cast("long").alias("b"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["a"]
+
+
+def lcm(a: Column, b: Column) -> Column:
+    """Least common multiple; 0 if either is 0."""
+    return F.coalesce(F.abs(a).cast("long") * F.try_divide(F.abs(b).cast("long"), gcd(a, b)).cast("long"), F.lit(0).cast("long"))
+
+
 def square(x: Column) -> Column:
     return x * x
 

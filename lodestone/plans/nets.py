@@ -223,6 +223,21 @@ def ctrnn(x: np.ndarray, g: np.ndarray, b: np.ndarray, w: np.ndarray, tau: np.nd
     return np.stack(out, 1)
 
 
+def generalised_logistic(x: np.ndarray, alpha: float = 1.0, nu: float = 1.0, q: float = 1.0, c: float = 1.0) -> np.ndarray:
+    """(c + q·exp(-αx))^(-1/ν)."""
+    return (c + q * np.exp(-alpha * x)) ** (-1 / nu)
+
+
+def finite_horizon(x: np.ndarray, w: np.ndarray, b: np.ndarray, horizon: int) -> np.ndarray:
+    """A linear layer whose outputs stand for the next ``horizon`` steps: (rows, horizon, outputs)."""
+    return (x @ w + b).reshape(len(x), horizon, -1)
+
+
+def beside(*layers):
+    """Layers of one input, their outputs joined."""
+    return lambda x: np.concatenate([np.asarray(f(x)).reshape(len(x), -1) for f in layers], 1)
+
+
 def residual_block(x: np.ndarray, inner) -> np.ndarray:
     return x + inner(x)
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.functions import distributions as dist
-from lodestone.functions import kernels
+from lodestone.functions import kernels, scalar
 from lodestone.operators import metrics, ordered, pipes, scalers
 from lodestone.plans import fields, glm, gram, models, nets, processes, tuning
 from lodestone.queries.learning import BY, name, process_energy, quality, series, stream
@@ -56,6 +57,30 @@ def _(t: Tables):
     return text.parse_json(lines, "event_id long, event_type string, value double")
 
 
+@query("F4_replaced_lines", "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, replace(n_name, 'A', '-') AS value FROM nation")
+def _(t: Tables):
+    path = new_path(t.spark, "lines")
+    t.nation.orderBy("n_nationkey").coalesce(1).select(F.col("n_name").alias("value")).write.text(path)
+    return text.replaced_lines(t.spark, path, "A", "-")
+
+
+@query("B6_divisors", "SELECT o_orderkey, o_custkey, gcd(o_orderkey, o_custkey)::BIGINT AS g, lcm(o_orderkey, o_custkey)::BIGINT AS l FROM orders")
+def _(t: Tables):
+    a, b = F.col("o_orderkey"), F.col("o_custkey")
+    return t.orders.select("o_orderkey", "o_custkey", scalar.gcd(a, b).alias("g"), scalar.lcm(a, b).alias("l"))
+
+
+@query("X6_batch_function", f"SELECT event_id, round(exp(-x * x) * cos(3 * x), 6) AS y FROM {X}")
+def _(t: Tables):
+    """A NumPy function over Arrow batches, where no expression would do."""
+    def run(frames):
+        for batch in frames:
+            v = batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.exp(-(v**2)) * np.cos(3 * v))], ["event_id", "y"])
+
+    return rounded(pipes.batchwise(run, "event_id long, y double")(x(t).select("event_id", "x")))
+
+
 @query("X2_unfold", "WITH RECURSIVE r AS (SELECT 0 AS k, 0.3::DOUBLE AS value UNION ALL SELECT k + 1, 2.5 * value * (1 - value) FROM r WHERE k < 199) SELECT k, round(value, 6) AS value FROM r")
 def _(t: Tables):
     return rounded(feeds.unfold(t.spark, 0.3, lambda v: 2.5 * v * (1 - v), 200))
@@ -238,6 +263,14 @@ def _(t: Tables):
     return d.select("event_id", F.transform("out", lambda v: F.round(v, 6)).alias("out"))
 
 
+@query("B14_layers", f"SELECT event_id, [round(1 / sqrt(0.5 + 2 * exp(-1.5 * x)), 6), round(tanh(x), 6), round(2 * x + 1, 6), round(-x, 6)] AS out FROM {X}")
+def _(t: Tables):
+    """A generalised logistic, tanh, and a linear layer of two steps, beside each other."""
+    layer = nets.beside(lambda z: nets.generalised_logistic(z, 1.5, 2.0, 2.0, 0.5), np.tanh, lambda z: nets.finite_horizon(z, np.array([[2.0, -1.0]]), np.array([1.0, 0.0]), 2))
+    d = nets.apply_layer(x(t).select("event_id", F.array("x").alias("e")), "e", layer, "out")
+    return d.select("event_id", F.transform("out", lambda v: F.round(v, 6) + 0.0).alias("out"))
+
+
 @query("M30_residual", f"SELECT vec_id, [round(v + greatest(v * 2, 0), 6) for v in e] AS out FROM {E64}")
 def _(t: Tables):
     layer = lambda z: nets.residual_block(z, lambda y: np.maximum(2 * y, 0))

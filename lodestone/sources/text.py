@@ -41,6 +41,11 @@ def json_rows(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns))
 
 
+def replaced_lines(spark: SparkSession, path: str, find: str, by: str) -> DataFrame:
+    """(pos, value): a file's lines in order, with every match of a pattern replaced."""
+    return lines(spark, path).withColumn("value", F.regexp_replace("value", find, by))
+
+
 def parse_json(df: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """The fields of JSON lines by a given schema; a line that doesn't fit gives nulls."""
     return df.select(F.from_json(column, schema).alias("__j")).select("__j.*")
