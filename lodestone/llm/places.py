@@ -13,6 +13,8 @@ from lodestone.session import new_path
 
 #: Rows that share a bitmap (4,096 bytes), as ``bitmap_construct_agg`` has them.
 SPAN = 1 << 15
+#: Spark's own bound (``spark.sql.sources.bucketing.maxBuckets``), as it is set by default.
+MOST_BUCKETS = 100_000
 
 
 def _forget(spark: SparkSession, name: str) -> None:
@@ -30,9 +32,9 @@ def placed(df: DataFrame, kind: str = "placed") -> DataFrame:
     spark = df.sparkSession
     path, name = new_path(spark, kind), f"lodestone_{kind}_{uuid.uuid4().hex}"
     atexit.register(_forget, spark, name)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     rows = df.withColumn("__at", F.monotonically_increasing_id()).withColumn("__block", F.shiftright("__at", 15))
-    rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "__block").saveAsTable(name)
+    rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "__block").saveAsTable(name)
     return spark.table(name)
 
 
