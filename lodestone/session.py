@@ -7,12 +7,15 @@ import contextlib
 import math
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 FILE_ROWS = 50_000
+#: By thread: the lists of paths of the blocks of ``released`` that are open.
+_MADE = threading.local()
 
 
 def builder(app: str = "lodestone", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -50,9 +53,29 @@ def new_path(spark: SparkSession, kind: str) -> str:
     """A fresh path below the shared folder; it goes when the driver's Python ends."""
     path = f"{shared_root(spark)}/lodestone/{kind}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    for made in getattr(_MADE, "scopes", []):
+        made.append(path)
     return path
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession, keep: list[str] | None = None):
+    """What this thread names by ``new_path`` inside the block goes at its end, but for ``keep`` (as it is then).
+
+    For work whose outcome has been written by then: plans that still read those tables fail.
+    """
+    made: list[str] = []
+    scopes = _MADE.__dict__.setdefault("scopes", [])
+    scopes.append(made)
+    try:
+        yield
+    finally:
+        scopes[:] = [s for s in scopes if s is not made]
+        for path in made:
+            if path not in (keep or ()):
+                remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes what ``new_path`` named; a session that has ended already is no error."""
     with contextlib.suppress(Exception):

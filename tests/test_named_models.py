@@ -133,3 +133,21 @@ def test_prior_sampling(spark):
     for r in library.QUERIES["M21_prior_sampling"](spark, "/root/testdata/sf0.001").collect():
         total = sum(energy(np.array([x for x, _ in g]), np.array([y for _, y in g]), r["b"], 0.5) for g in users.values())
         assert r["energy"] == pytest.approx(total, rel=1e-3)
+
+
+def test_released_tables(spark):
+    """Tables named inside a block go at its end, those of other blocks and threads stay."""
+    from lodestone.session import durable, released
+
+    outer, inner, kept = [], [], []
+    durable(spark.range(3), "outer", outer)
+    with released(spark):
+        durable(spark.range(3), "kept", kept)
+        with released(spark, kept):
+            durable(spark.range(3), "inner", inner)
+        with pytest.raises(Exception):
+            spark.read.parquet(inner[0]).count()
+        assert spark.read.parquet(kept[0]).count() == 3
+    assert spark.read.parquet(outer[0]).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(kept[0]).count()
