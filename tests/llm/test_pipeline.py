@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, each on its own input, corner cases included."""
 
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from conftest import path
 from lodestone.llm import quality, queries
+from lodestone.session import shared_root
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -84,7 +87,11 @@ def test_stages_on_empty_and_odd_tables(spark, odd, nothing):
 
 
 def test_run(spark):
+    folder = Path(shared_root(spark).removeprefix("file://").removeprefix("file:")) / "lodestone"
+    before = set(folder.iterdir()) if folder.exists() else set()
     out = corpus_pipeline.run(spark, SF)
+    # of all that the stages have written only the last result stays
+    assert [p.name.partition("-")[0] for p in set(folder.iterdir()) - before] == ["stage"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for stage in (corpus_pipeline.quality, corpus_pipeline.exact, corpus_pipeline.near):
         docs = stage(spark, docs, SF)
