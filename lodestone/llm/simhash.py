@@ -88,7 +88,8 @@ def links(distinct: DataFrame, bound: int = 3, crowded: int = 512) -> DataFrame:
         cond = near(F.col("t.fp"), F.col("p.fp")) & once
         for s in same:
             cond = cond & s
-        return t.alias("t").join(p.alias("p"), cond).select(*pair)
+        # both sides are many times what the optimiser takes them for (it doesn't count exploded rows): never sent
+        return t.alias("t").hint("merge").join(p.alias("p"), cond).select(*pair)
 
     def half(seg: str = "seg") -> Column:
         return F.when(F.col(seg) == 0, low).otherwise(high)

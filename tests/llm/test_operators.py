@@ -80,6 +80,23 @@ def test_links_are_complete(spark, crowded):
     assert simhash.links(df.where(F.lit(False))).count() == 0
 
 
+def test_exploded_sides_are_never_sent(spark):
+    """A table whose file is small may be most of a gigabyte once its probes are exploded."""
+    df = spark.range(200).select(F.xxhash64("id").alias("fp"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    plan = simhash.links(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    from lodestone.llm import components as module
+
+    monkeypatch.setattr(module, "SENT", 10)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 140), (120, 140)]
+    got = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == components_of(edges, {n for e in edges for n in e})
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(5, 5), (None, 3), (7, None)]
