@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -229,8 +230,12 @@ def generalised_logistic(x: np.ndarray, alpha: float = 1.0, nu: float = 1.0, q:
 
 
 def finite_horizon(x: np.ndarray, w: np.ndarray, b: np.ndarray, horizon: int) -> np.ndarray:
-    """A linear layer whose outputs stand for the next ``horizon`` steps: (rows, horizon, outputs)."""
-    return (x @ w + b).reshape(len(x), horizon, -1)
+    """A linear layer whose outputs stand for the next ``horizon`` steps: (rows, horizon, outputs).
+
+    Sums begin with their first product and biases of zero add nothing, so that a zero keeps its sign.
+    """
+    z = reduce(np.add, (x[:, i, None] * w[i] for i in range(len(w))))
+    return np.where(b == 0, z, z + b).reshape(len(x), horizon, -1)
 
 
 def beside(*layers):

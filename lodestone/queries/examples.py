@@ -14,7 +14,7 @@ from lodestone.queries.learning import BY, name, process_energy, quality, series
 from lodestone.queries.library import X, x
 from lodestone.queries.more import RIDGE
 from lodestone.queries.registry import Tables, query
-from lodestone.queries.statistics import rounded, rounded_metrics
+from lodestone.queries.statistics import rounded, rounded_items, rounded_metrics
 from lodestone.session import durable, new_path
 from lodestone.sources import feeds, text
 from lodestone.streaming import tables as streams
@@ -246,7 +246,7 @@ E64 = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
 def _(t: Tables):
     centres, scales = np.array([[0.0] * 64, [0.5] * 64]), np.full((2, 64), 0.25)
     d = nets.apply_layer(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e")), "e", lambda z: nets.rbf_layer(z, centres, scales), "out")
-    return d.select("vec_id", F.transform("out", lambda v: F.round(v, 6)).alias("out"))
+    return d.select("vec_id", rounded_items("out").alias("out"))
 
 
 @query("M30_batch_norm", "SELECT vec_id, [round((z[1] - z[2]) / sqrt(z[3] + 1e-5), 5) for z in list_zip(CAST(embedding AS DOUBLE[]), m, v)] AS out FROM embeddings, (SELECT list(m ORDER BY d) AS m, list(v ORDER BY d) AS v FROM (SELECT d, avg(x) AS m, var_pop(x) AS v FROM (SELECT unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY d))")
@@ -260,7 +260,7 @@ def _(t: Tables):
     one = lambda v: np.array([[v]])
     layer = lambda z: nets.ctrnn(z, one(2.0), np.array([0.5]), one(0.75), np.array([0.5]), 0.1, 2)
     d = nets.apply_layer(x(t).select("event_id", F.array("x").alias("e")), "e", layer, "out")
-    return d.select("event_id", F.transform("out", lambda v: F.round(v, 6)).alias("out"))
+    return d.select("event_id", rounded_items("out").alias("out"))
 
 
 @query("B14_layers", f"SELECT event_id, [round(1 / sqrt(0.5 + 2 * exp(-1.5 * x)), 6), round(tanh(x), 6), round(2 * x + 1, 6), round(-x, 6)] AS out FROM {X}")
@@ -268,7 +268,7 @@ def _(t: Tables):
     """A generalised logistic, tanh, and a linear layer of two steps, beside each other."""
     layer = nets.beside(lambda z: nets.generalised_logistic(z, 1.5, 2.0, 2.0, 0.5), np.tanh, lambda z: nets.finite_horizon(z, np.array([[2.0, -1.0]]), np.array([1.0, 0.0]), 2))
     d = nets.apply_layer(x(t).select("event_id", F.array("x").alias("e")), "e", layer, "out")
-    return d.select("event_id", F.transform("out", lambda v: F.round(v, 6) + 0.0).alias("out"))
+    return d.select("event_id", rounded_items("out").alias("out"))
 
 
 @query("M30_residual", f"SELECT vec_id, [round(v + greatest(v * 2, 0), 6) for v in e] AS out FROM {E64}")

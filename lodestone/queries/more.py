@@ -13,7 +13,7 @@ from lodestone.plans import glm, gram, processes, sequences, tuning
 from lodestone.queries.learning import KALMAN, answers, process_energy, quality, series
 from lodestone.queries.library import X, register, x
 from lodestone.queries.registry import Tables, query
-from lodestone.queries.statistics import METRICS, rounded, rounded_metrics, scores
+from lodestone.queries.statistics import METRICS, rounded, rounded_items, rounded_metrics, scores
 from lodestone.session import new_path
 from lodestone.sources import binary, feeds, text
 
@@ -72,7 +72,7 @@ def _(t: Tables):
 
 @query("P6_then_basis", f"SELECT event_id, [round(v, 6) for v in [1.0, 2 * x, 4 * x * x]] AS phi FROM {X}")
 def _(t: Tables):
-    p = pipes.Pipe(lambda c: c * 2) >> bases.polynomial(2) >> (lambda a: F.transform(a, lambda v: F.round(v, 6)))
+    p = pipes.Pipe(lambda c: c * 2) >> bases.polynomial(2) >> rounded_items
     return x(t).select("event_id", p(F.col("x")).alias("phi"))
 
 

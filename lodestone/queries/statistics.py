@@ -13,6 +13,16 @@ def rounded(df, digits: int = 6, **special: int):
     return df.select(*(F.round(c, special.get(c, digits)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes))
 
 
+def rounded_items(c, digits: int = 6):
+    """An array's numbers rounded; as in DuckDB, those that round to zero from below are -0.0."""
+
+    def one(v):
+        r = F.round(v, digits)
+        return F.when((r == 0) & v.cast("string").startswith("-"), F.lit(-0.0)).otherwise(r)
+
+    return F.transform(c, one)
+
+
 # -- aggregates ------------------------------------------------------------------------------------
 
 
