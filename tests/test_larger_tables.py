@@ -24,3 +24,23 @@ def test_rounding_to_zero_from_below(spark):
 def test_linear_layer_keeps_the_sign_of_zero():
     got = nets.finite_horizon(np.array([[0.0], [1.5]]), np.array([[2.0, -1.0]]), np.array([1.0, 0.0]), 2)
     assert got.tolist() == [[[1.0], [0.0]], [[4.0], [-1.5]]] and signs(got[0].ravel()) == [1, -1]
+
+
+def query_on(spark, tmp_path, name, vectors):
+    """A query over embeddings of these vectors of 64: its array column by vec_id."""
+    from lodestone import queries as library
+
+    rows = [(i, v) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return [list(r)[1] for r in library.QUERIES[name](spark, str(tmp_path)).orderBy("vec_id").collect()]
+
+
+def test_haar_inverse_gives_the_very_values(spark, tmp_path):
+    """Halfway cases (odd multiples of 1/128) aren't moved by the transforms' last bits."""
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(200, 64)).astype(np.float32)
+    v[:, 20] = (2 * np.arange(200) + 1) / 128
+    v[0, 3] = -1e-9
+    got = query_on(spark, tmp_path, "F24_haar_inverse", v.tolist())
+    expected = np.trunc(np.abs(v.astype(float)) * 1e6 + 0.5) / 1e6 * np.sign(v)
+    assert np.array_equal(got, expected) and math.copysign(1, got[0][3]) == -1
