@@ -252,7 +252,7 @@ def _(t: Tables):
 @query("M30_batch_norm", "SELECT vec_id, [round((z[1] - z[2]) / sqrt(z[3] + 1e-5), 5) for z in list_zip(CAST(embedding AS DOUBLE[]), m, v)] AS out FROM embeddings, (SELECT list(m ORDER BY d) AS m, list(v ORDER BY d) AS v FROM (SELECT d, avg(x) AS m, var_pop(x) AS v FROM (SELECT unnest(range(64)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY d))")
 def _(t: Tables):
     d = nets.normalised(t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("out")), "out")
-    return d.select("vec_id", F.transform("out", lambda v: F.round(v, 5)).alias("out"))
+    return d.select("vec_id", rounded_items("out", 5).alias("out"))
 
 
 @query("M30_ctrnn", f"SELECT event_id, [round(a, 6), round(a + 0.1 * (0.75 * tanh(2 * a + 0.5) - a / 2), 6)] AS out FROM (SELECT event_id, x + 0.1 * (0.75 * tanh(2 * x + 0.5) - x / 2) AS a FROM {X})")

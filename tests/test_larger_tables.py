@@ -44,3 +44,8 @@ def test_haar_inverse_gives_the_very_values(spark, tmp_path):
     got = query_on(spark, tmp_path, "F24_haar_inverse", v.tolist())
     expected = np.trunc(np.abs(v.astype(float)) * 1e6 + 0.5) / 1e6 * np.sign(v)
     assert np.array_equal(got, expected) and math.copysign(1, got[0][3]) == -1
+
+
+def test_batch_norm_below_zero(spark, tmp_path):
+    got = query_on(spark, tmp_path, "M30_batch_norm", [[1.0] * 64, [-1.0] * 64, [-1e-7] * 64])
+    assert got[2] == [0.0] * 64 and signs(got[2]) == [-1] * 64
