@@ -49,3 +49,8 @@ def test_haar_inverse_gives_the_very_values(spark, tmp_path):
 def test_batch_norm_below_zero(spark, tmp_path):
     got = query_on(spark, tmp_path, "M30_batch_norm", [[1.0] * 64, [-1.0] * 64, [-1e-7] * 64])
     assert got[2] == [0.0] * 64 and signs(got[2]) == [-1] * 64
+
+
+def test_residual_below_zero(spark, tmp_path):
+    got = query_on(spark, tmp_path, "M30_residual", [[-1e-7] * 64, [1.0] * 64])
+    assert got[0] == [0.0] * 64 and signs(got[0]) == [-1] * 64 and got[1] == [3.0] * 64
