@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.session import new_path
+
 
 def read(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
     """A stream over the Parquet files of a directory, with the schema of a batch frame."""
@@ -69,7 +71,22 @@ def lag_features(stream: DataFrame, by: str, order: list[str], value: str, depth
 
 
 def drain(result: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and gives the table it made (for tests and small results)."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
+    """Runs a stream over what is there now and gives the table it made, from the shared folder.
+
+    Each batch is a table of its own, written by the executors; a batch that runs again overwrites it.
+    In the complete mode the last batch is the whole result. State and progress lie in the shared folder too.
+    """
+    spark, path = result.sparkSession, new_path(result.sparkSession, "drained")
+    done: list[int] = []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{k}")
+        if k not in done:
+            done.append(k)
+
+    writer = result.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", new_path(spark, "progress"))
+    writer.foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    if not done:
+        return spark.createDataFrame([], result.schema)
+    kept = done[-1:] if mode == "complete" else done
+    return spark.read.schema(result.schema).parquet(*(f"{path}/{k}" for k in kept))

@@ -54,3 +54,14 @@ def test_batch_norm_below_zero(spark, tmp_path):
 def test_residual_below_zero(spark, tmp_path):
     got = query_on(spark, tmp_path, "M30_residual", [[-1e-7] * 64, [1.0] * 64])
     assert got[0] == [0.0] * 64 and signs(got[0]) == [-1] * 64 and got[1] == [3.0] * 64
+
+
+def test_drained_streams_stay_off_the_driver(spark, tmp_path):
+    from lodestone.streaming import tables
+
+    df = spark.range(30).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"), F.col("id").cast("double").alias("v"))
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    lags = tables.drain(tables.lag_features(tables.read(spark, f"{tmp_path}/in", df, files=9), "k", ["t"], "v", 2), "off_driver", "append")
+    assert len(lags.inputFiles()) > 0 and lags.count() == 24
+    total = tables.drain(tables.running_metrics(tables.read(spark, f"{tmp_path}/in", df).withColumn("y", F.lit(0.0)), "v", "y"), "off_driver_total", "complete")
+    assert [r["n"] for r in total.collect()] == [30]
