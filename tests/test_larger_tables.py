@@ -65,3 +65,16 @@ def test_drained_streams_stay_off_the_driver(spark, tmp_path):
     assert len(lags.inputFiles()) > 0 and lags.count() == 24
     total = tables.drain(tables.running_metrics(tables.read(spark, f"{tmp_path}/in", df).withColumn("y", F.lit(0.0)), "v", "y"), "off_driver_total", "complete")
     assert [r["n"] for r in total.collect()] == [30]
+
+
+def test_entropy_in_chunks(spark, monkeypatch):
+    """Several chunks of all pairs, a null vector and a vector with a null left out; no rows, no entropy."""
+    from lodestone.operators import joins
+
+    monkeypatch.setattr(joins, "CHUNK", 1000)
+    x = np.random.default_rng(4).normal(size=(300, 3))
+    x[7] = x[8]
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,), ([1.0, None, 2.0],)], "e array<double>")
+    density = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2 / 0.49) / ((2 * math.pi) ** 0.5 * 0.7) ** 3
+    assert joins.renyi_entropy(df, "e", 0.7).first()["entropy"] == pytest.approx(-math.log(density.mean()), abs=1e-12)
+    assert joins.renyi_entropy(df.where(F.lit(False)), "e", 0.7).first()["entropy"] is None
