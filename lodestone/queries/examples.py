@@ -170,10 +170,9 @@ def _(t: Tables):
     g AS (SELECT sum(x * x / v) AS a, sum(x / v) AS b, sum(1 / v) AS c, sum(x * y / v) AS p, sum(y / v) AS q FROM d)
     SELECT round((c * p - b * q) / (a * c - b * b), 4) AS slope, round((a * q - b * p) / (a * c - b * b), 4) AS intercept FROM g""")
 def _(t: Tables):
-    """A full covariance matrix of the errors (here a diagonal one), on a gathered set."""
-    d = t.supplier.select(F.array(F.col("s_nationkey").cast("double"), F.lit(1.0) + F.col("s_suppkey") % 3).alias("features"), F.col("s_acctbal").alias("target"))
-    z, y = processes.gather(d)
-    w = glm.generalised_least_squares(np.column_stack([z[:, 0], np.ones(len(z))]), y, np.diag(z[:, 1]))
+    """The errors' covariance matrix in cells (here a diagonal one), over all rows."""
+    omega = t.supplier.select(F.col("s_suppkey").alias("i"), F.col("s_suppkey").alias("j"), (F.lit(1.0) + F.col("s_suppkey") % 3).alias("v"))
+    w = glm.generalised_least_squares_of(t.supplier, [F.col("s_nationkey")], F.col("s_acctbal"), "s_suppkey", omega).weights
     return t.spark.createDataFrame([(round(float(w[0]), 4), round(float(w[1]), 4))], "slope double, intercept double")
 
 

@@ -78,3 +78,16 @@ def test_entropy_in_chunks(spark, monkeypatch):
     density = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2 / 0.49) / ((2 * math.pi) ** 0.5 * 0.7) ** 3
     assert joins.renyi_entropy(df, "e", 0.7).first()["entropy"] == pytest.approx(-math.log(density.mean()), abs=1e-12)
     assert joins.renyi_entropy(df.where(F.lit(False)), "e", 0.7).first()["entropy"] is None
+
+
+def test_generalised_least_squares_over_a_frame(spark):
+    """A full covariance matrix in cells gives what the dense solution gives."""
+    from lodestone.operators import linalg
+    from lodestone.plans import glm
+
+    rng = np.random.default_rng(5)
+    x, y, root = rng.normal(size=30), rng.normal(size=30) * 100, rng.normal(size=(30, 30))
+    omega = root @ root.T / 30 + np.eye(30)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i long, x double, y double")
+    got = glm.generalised_least_squares_of(df, [F.col("x")], F.col("y"), "i", linalg.from_numpy(spark, omega)).weights
+    assert got == pytest.approx(glm.generalised_least_squares(np.column_stack([x, np.ones(30)]), y, omega), rel=1e-9)
