@@ -91,3 +91,12 @@ def test_generalised_least_squares_over_a_frame(spark):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i long, x double, y double")
     got = glm.generalised_least_squares_of(df, [F.col("x")], F.col("y"), "i", linalg.from_numpy(spark, omega)).weights
     assert got == pytest.approx(glm.generalised_least_squares(np.column_stack([x, np.ones(30)]), y, omega), rel=1e-9)
+
+
+def test_labelled_figures_leave_texts_where_they_are(spark):
+    """No text moves to the labels, and none is read again by the steps of a model."""
+    from lodestone.queries.learning import quality
+    from lodestone.queries.registry import Tables
+
+    files = quality(Tables(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert not any(f.endswith("documents.parquet") for f in files)
