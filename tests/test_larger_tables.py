@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import bases
 from lodestone.plans import nets
 from lodestone.queries.statistics import rounded_items
 
@@ -100,3 +99,15 @@ def test_labelled_figures_leave_texts_where_they_are(spark):
 
     files = quality(Tables(spark, "/root/testdata/sf0.001")).inputFiles()
     assert not any(f.endswith("documents.parquet") for f in files)
+
+
+def test_dense_kernel_matrix_in_chunks(spark, monkeypatch):
+    from lodestone.functions import kernels
+    from lodestone.plans import gram
+
+    monkeypatch.setattr(kernels, "CHUNK", 1000)
+    x = np.random.default_rng(6).normal(size=(70, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    got = {(r["i"], r["j"]): r["v"] for r in kernels.dense_matrix(df, gram.kernel("rbf", b=2.0)).collect()}
+    assert len(got) == 4900
+    assert all(abs(v - math.exp(-((x[i] - x[j]) ** 2).sum() / 8)) < 1e-12 for (i, j), v in got.items())
