@@ -25,18 +25,18 @@ class Fitted:
 
 
 def _kernel(make, columns=("mean", "variance"), answer=None):
-    """A fit on the gathered rows (bounded by ``processes.MOST``, refused beyond)."""
+    """A fit on all rows by their distinct points (bounded by ``processes.MOST``, refused beyond)."""
 
     def fit(df: DataFrame) -> Fitted:
-        model = make(*processes.gather(df))
+        model = make(*processes.gather_distinct(df))
         return Fitted(model, columns, answer and (lambda z: answer(model, z)))
 
     return fit
 
 
 def _mixture(kernels, noise):
-    def make(x, y):
-        return [processes.GaussianProcess(k, noise, x, y) for k in kernels]
+    def make(x, y, n, s):
+        return [processes.GaussianProcess(k, noise, x, y, counts=n, scatter=s) for k in kernels]
 
     def answer(ps, z):
         means, variances = (np.array(v) for v in zip(*(p.posterior(z) for p in ps), strict=True))
@@ -50,10 +50,10 @@ FITS = {
     "glm": lambda size, **o: lambda d: glm.ridge(d, [F.col("features")[i] for i in range(size)], F.col("target"), **o),
     "gls": lambda size, variance: lambda d: glm.weighted_least_squares(d, [F.col("features")[i] for i in range(size)], F.col("target"), F.col(variance)),
     "logistic": lambda size, **o: lambda d: glm.logistic_model(d, [F.col("features")[i] for i in range(size)], F.col("target"), glm.Options(**o)),
-    "svm": lambda kernel, regularisation=1.0: _kernel(lambda x, y: processes.LeastSquaresSVM(kernel, x, y, regularisation), ("mean",)),
-    "process": lambda kernel, noise, **o: _kernel(lambda x, y: processes.GaussianProcess(kernel, noise, x, y, **o)),
-    "student": lambda kernel, noise, **o: _kernel(lambda x, y: processes.StudentProcess(kernel, noise, x, y, **o)),
-    "skew": lambda kernel, noise, **o: _kernel(lambda x, y: processes.SkewProcess(kernel, noise, x, y, **o), ("mean", "variance", "skew"), lambda m, z: m.predict(z)[:3]),
+    "svm": lambda kernel, regularisation=1.0: _kernel(lambda x, y, n, s: processes.LeastSquaresSVM(kernel, x, y, regularisation, n), ("mean",)),
+    "process": lambda kernel, noise, **o: _kernel(lambda x, y, n, s: processes.GaussianProcess(kernel, noise, x, y, counts=n, scatter=s, **o)),
+    "student": lambda kernel, noise, **o: _kernel(lambda x, y, n, s: processes.StudentProcess(kernel, noise, x, y, counts=n, scatter=s, **o)),
+    "skew": lambda kernel, noise, **o: _kernel(lambda x, y, n, s: processes.SkewProcess(kernel, noise, x, y, counts=n, scatter=s, **o), ("mean", "variance", "skew"), lambda m, z: m.predict(z)[:3]),
     "mixture": lambda kernels, noise: _mixture(kernels, noise),
 }
 

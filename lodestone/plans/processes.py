@@ -31,6 +31,19 @@ def gather(df: DataFrame, features: str = "features", target: str = "target", mo
     return np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
 
 
+def gather_distinct(df: DataFrame, features: str = "features", target: str = "target", most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Distinct points, the means of their targets, how many rows each has, the squared deviations from those means.
+
+    What a kernel model needs to know of any number of rows; more than ``most`` distinct points are refused.
+    """
+    y = F.col(target).cast("double")
+    rows = df.groupBy(F.col(features).alias("x")).agg(F.avg(y).alias("y"), F.count("*").alias("n"), (F.var_pop(y) * F.count("*")).alias("s")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct training points")
+    rows.sort(key=lambda r: r["x"])
+    return *(np.array([r[c] for r in rows], float) for c in "xyn"), float(sum(r["s"] for r in rows))
+
+
 def predict_batches(df: DataFrame, model, features: str = "features", columns: tuple[str, ...] = ("mean", "variance"), answer=None) -> DataFrame:
     """Adds what ``model.posterior`` (or ``answer``) gives, in Arrow batches on the executors."""
     answer = answer or model.posterior
@@ -67,10 +80,40 @@ class GaussianProcess:
     x: np.ndarray
     y: np.ndarray
     mean: object = staticmethod(lambda x: np.zeros(len(x)))
+    #: Where ``x`` are distinct points and ``y`` means: rows a point, and squared deviations from the means.
+    counts: np.ndarray | None = None
+    scatter: float = 0.0
+
+    @cached_property
+    def _covariance(self):
+        """(covariance, its Cholesky factor, what was added to a row's diagonal).
+
+        Rows of a point share all that kernels give them: with δ on each row's diagonal the whole
+        matrix acts as that of the points with δ over their counts.
+        """
+        if self.counts is None or (self.counts == 1).all():
+            return *covariance_root(self.kernel, self.noise, self.x), 0.0
+        k = self.kernel(self.x, self.x) + self.noise(self.x, self.x)
+        delta = 1e-8 * float(np.diag(k) @ self.counts / self.counts.sum())
+        k = k + np.diag(delta / self.counts)
+        return k, np.linalg.cholesky(k), delta
+
+    def size(self) -> float:
+        return len(self.y) if self.counts is None else float(self.counts.sum())
+
+    def quadratic(self) -> float:
+        """yᵀC⁻¹y over all rows."""
+        delta = self._covariance[2]
+        return float((self.y - self.mean(self.x)) @ self.factor()[1]) + (self.scatter / delta if delta else 0.0)
+
+    def half_log_determinant(self) -> float:
+        _, l, delta = self._covariance  # noqa: E741
+        more = ((self.size() - len(l)) * math.log(delta) + float(np.log(self.counts).sum())) / 2 if delta else 0.0
+        return float(np.log(np.diag(l)).sum()) + more
 
     @cached_property
     def _factor(self):
-        _, l = covariance_root(self.kernel, self.noise, self.x)  # noqa: E741
+        l = self._covariance[1]  # noqa: E741
         return l, np.linalg.solve(l.T, np.linalg.solve(l, self.y - self.mean(self.x)))
 
     def factor(self):
@@ -96,8 +139,7 @@ class GaussianProcess:
 
     def energy(self) -> float:
         """Negative log marginal likelihood."""
-        l, a = self.factor()
-        return float((self.y - self.mean(self.x)) @ a / 2 + np.log(np.diag(l)).sum() + len(self.y) / 2 * math.log(2 * math.pi))
+        return self.quadratic() / 2 + self.half_log_determinant() + self.size() / 2 * math.log(2 * math.pi)
 
 
 @dataclass(frozen=True)
@@ -108,15 +150,14 @@ class StudentProcess(GaussianProcess):
 
     def posterior(self, x):
         m, v = super().posterior(x)
-        nu, n = self.mu + 2, len(self.y)
-        beta = float((self.y - self.mean(self.x)) @ self.factor()[1])
+        nu, n = self.mu + 2, self.size()
+        beta = self.quadratic()
         return m, v * (nu + beta - 2) / (nu + n - 2)
 
     def energy(self) -> float:
-        l, a = self.factor()
-        nu, n = self.mu + 2, len(self.y)
-        beta = float((self.y - self.mean(self.x)) @ a)
-        return -(math.lgamma((nu + n) / 2) - math.lgamma(nu / 2) - n / 2 * math.log((nu - 2) * math.pi) - float(np.log(np.diag(l)).sum()) - (nu + n) / 2 * math.log1p(beta / (nu - 2)))
+        nu, n = self.mu + 2, self.size()
+        beta = self.quadratic()
+        return -(math.lgamma((nu + n) / 2) - math.lgamma(nu / 2) - n / 2 * math.log((nu - 2) * math.pi) - self.half_log_determinant() - (nu + n) / 2 * math.log1p(beta / (nu - 2)))
 
 
 @dataclass(frozen=True)
@@ -148,7 +189,7 @@ class SkewProcess(GaussianProcess):
     cutoff: float = 0.0
 
     def predict(self, x):
-        k, _ = covariance_root(self.kernel, self.noise, self.x)
+        k = self._covariance[0]
         lam = np.full(len(self.x), self.skew)
         beta = np.linalg.solve(k, lam)
         delta = 1 / math.sqrt(1 + lam @ beta)
@@ -226,13 +267,15 @@ class LeastSquaresSVM:
     x: np.ndarray
     y: np.ndarray
     regularisation: float = 1.0
+    #: Rows a point, where ``x`` are distinct points and ``y`` means.
+    counts: np.ndarray | None = None
 
     @cached_property
     def _solution(self):
         n = len(self.y)
         m = np.zeros((n + 1, n + 1))
         m[0, 1:] = m[1:, 0] = 1
-        m[1:, 1:] = self.kernel(self.x, self.x) + np.eye(n) / self.regularisation
+        m[1:, 1:] = self.kernel(self.x, self.x) + np.diag(1 / (np.ones(n) if self.counts is None else self.counts)) / self.regularisation
         out = np.linalg.solve(m, np.r_[0, self.y])
         return out[1:], out[0]
 

@@ -111,3 +111,27 @@ def test_dense_kernel_matrix_in_chunks(spark, monkeypatch):
     got = {(r["i"], r["j"]): r["v"] for r in kernels.dense_matrix(df, gram.kernel("rbf", b=2.0)).collect()}
     assert len(got) == 4900
     assert all(abs(v - math.exp(-((x[i] - x[j]) ** 2).sum() / 8)) < 1e-12 for (i, j), v in got.items())
+
+
+def test_models_of_distinct_points(spark):
+    """Repeated rows count as they do in the whole matrices, though only their distinct points are gathered."""
+    from lodestone.plans import gram, models, processes
+
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(6, 2))
+    x = points[rng.integers(0, 6, 40)]
+    y = rng.normal(size=40)
+    df = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "features array<double>, target double")
+    z, means, counts, scatter = processes.gather_distinct(df)
+    k, noise = gram.kernel("rbf", b=0.5), gram.kernel("dirac", noise=0.5)
+    whole = k(x, x) + noise(x, x) + 1.5e-8 * np.eye(40)
+    p = processes.GaussianProcess(k, noise, z, means, counts=counts, scatter=scatter)
+    inverse = np.linalg.inv(whole)
+    assert p.quadratic() == pytest.approx(y @ inverse @ y, rel=1e-5)
+    assert p.half_log_determinant() == pytest.approx(np.linalg.slogdet(whole)[1] / 2, rel=1e-6)
+    svm = processes.LeastSquaresSVM(k, x, y).posterior(points)[0]
+    assert processes.LeastSquaresSVM(k, z, means, counts=counts).posterior(points)[0] == pytest.approx(svm, abs=1e-9)
+    assert len(processes.gather_distinct(df, most=6)[0]) == 6
+    with pytest.raises(ValueError):
+        processes.gather_distinct(df, most=5)
+    assert models.model_pipe("process", kernel=k, noise=noise).train(df).predict(df).count() == 40
