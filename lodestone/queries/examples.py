@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import distributions as dist
 from lodestone.functions import kernels, scalar
 from lodestone.operators import metrics, ordered, pipes, scalers
-from lodestone.plans import fields, glm, gram, models, nets, processes, tuning
+from lodestone.plans import fields, glm, gram, large, models, nets, processes, tuning
 from lodestone.queries.learning import BY, name, process_energy, quality, series, stream
 from lodestone.queries.library import X, x
 from lodestone.queries.more import RIDGE
@@ -462,6 +462,6 @@ def _(t: Tables):
     """Labelled documents of each language by support vectors, judged at all thresholds."""
     d = quality(t).join(t.documents.select("doc_id", "lang"), "doc_id").select(F.coalesce("lang", F.lit("")).alias("lang"), "doc_id", F.array("a", "b").alias("features"), (2 * F.col("y") - 1).alias("target"))
     d = d.withColumn("train", F.pmod(F.xxhash64("doc_id"), F.lit(10)) < 8)
-    make = lambda x_, y: processes.LeastSquaresSVM(gram.kernel("rbf", b=1.0), x_, y, 2.5)
-    s = durable(processes.predict_by_group(d, "lang", ["doc_id"], make, ("score",), train="train").where("not train").select("score", (F.col("target") > 0).cast("int").alias("label")), "scores")
+    said = large.support_vectors_by_group(d, "lang", ["doc_id"], gram.kernel("rbf", b=1.0), 2.5, train="train")
+    s = durable(said.where("not train").select("score", (F.col("target") > 0).cast("int").alias("label")), "scores")
     return rounded(metrics.binary_kpi(s, metrics.thresholds(s)), 4)

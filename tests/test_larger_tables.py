@@ -135,3 +135,33 @@ def test_models_of_distinct_points(spark):
     with pytest.raises(ValueError):
         processes.gather_distinct(df, most=5)
     assert models.model_pipe("process", kernel=k, noise=noise).train(df).predict(df).count() == 40
+
+
+def test_support_vectors_of_a_large_group(spark, monkeypatch):
+    """More rows than are solved densely: through features, or from all pairs, the dense answers."""
+    from lodestone.plans import gram, large, processes
+
+    rng = np.random.default_rng(6)
+    kernel = gram.kernel("rbf", b=0.8)
+    rows = [("a" if i % 4 else None, i, [float(a), float(b)], float(np.sign(a + b - 1)), bool(i % 5)) for i, (a, b) in enumerate(rng.random((400, 2)).round(1))]
+    rows += [("b", 400 + i, [0.1 * i, 1.0], float(i % 2), True) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, id long, features array<double>, target double, train boolean")
+    make = lambda x, y: processes.LeastSquaresSVM(kernel, x, y, 2.5)
+    ask = lambda d: {r["id"]: r["score"] for r in d.collect()}
+    expected = ask(processes.predict_by_group(df, "g", ["id"], make, ("score",), train="train"))
+    got = lambda: ask(large.support_vectors_by_group(df, "g", ["id"], kernel, 2.5, train="train", most=50))
+    assert got() == pytest.approx(expected, abs=1e-9)
+    monkeypatch.setattr(large, "features_of", lambda *_: None)
+    monkeypatch.setattr(large, "TILE", 32)
+    assert got() == pytest.approx(expected, abs=1e-9)
+
+
+def test_features_leave_nothing_of_any_row(spark):
+    from lodestone.plans import gram, large
+
+    x = np.random.default_rng(7).random((3000, 2)) * 3
+    df = spark.createDataFrame([(v,) for v in x.tolist()], "features array<double>").repartition(7)
+    kernel = gram.kernel("rbf", b=1.0)
+    of = large.features_of(df, kernel)
+    assert len(of.x) < 300 and np.abs(of(x[:500]).T @ of(x[-500:]) - kernel(x[:500], x[-500:])).max() < 1e-12
+    assert large.features_of(df, gram.kernel("laplacian", beta=1.0), most=40) is None
