@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import bases, kernels, scalar
 from lodestone.functions import distributions as dist
 from lodestone.operators import linalg, metrics, ordered, pipes, scalers, stats
-from lodestone.plans import glm, gram, processes, sequences, tuning
+from lodestone.plans import glm, gram, large, processes, sequences, tuning
 from lodestone.queries.learning import KALMAN, answers, process_energy, quality, series
 from lodestone.queries.library import X, register, x
 from lodestone.queries.registry import Tables, query
@@ -326,9 +326,9 @@ def _(t: Tables):
     """Scale on the training rows, fit a process, predict the rest, evaluate."""
     split = ordered.split_by_share(series(t), 0.02, ["event_id"]).withColumn("y", F.array("target"))
     scaled, fitted = scalers.fit_split(split, ["features", "y"], "gaussian")
-    a, b = processes.gather(scaled.where("split = 'train'").select("features", F.col("y")[0].alias("target")))
-    m = processes.GaussianProcess(gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5)), gram.kernel("dirac", noise=0.5), a, b)
-    test = processes.predict_batches(scaled.where("split = 'test'").select("features", "target"), m)
+    train = scaled.where("split = 'train'").select("features", F.col("y")[0].alias("target"))
+    m = large.process_mean(train, gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5)), gram.kernel("dirac", noise=0.5))
+    test = processes.predict_batches(large.spread(scaled.where("split = 'test'").select("features", "target")), m, columns=("mean",))
     back = fitted["y"].backward(F.array("mean"))[0]
     return rounded(metrics.regression_metrics(test.select(back.alias("score"), F.col("target").alias("label"))))
 

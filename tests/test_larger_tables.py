@@ -165,3 +165,23 @@ def test_features_leave_nothing_of_any_row(spark):
     of = large.features_of(df, kernel)
     assert len(of.x) < 300 and np.abs(of(x[:500]).T @ of(x[-500:]) - kernel(x[:500], x[-500:])).max() < 1e-12
     assert large.features_of(df, gram.kernel("laplacian", beta=1.0), most=40) is None
+
+
+def test_process_mean_of_all_pairs(spark, monkeypatch):
+    """More points than are solved densely give the dense process's means, with and without repeats."""
+    from lodestone.plans import gram, large, processes
+
+    monkeypatch.setattr(large, "TILE", 64)
+    kernel, noise = gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5)), gram.kernel("dirac", noise=0.5)
+    for digits in (9, 1):
+        rng = np.random.default_rng(8)
+        x = rng.normal(size=(300, 2)).round(digits)
+        y = np.sin(x.sum(1)) + rng.normal(size=300)
+        df = spark.createDataFrame([(a, float(b)) for a, b in zip(x.tolist(), y, strict=True)], "features array<double>, target double")
+        z = rng.normal(size=(40, 2))
+        monkeypatch.setattr(large, "DENSE", 1000)
+        dense = large.process_mean(df, kernel, noise).posterior(z)[0]
+        monkeypatch.setattr(large, "DENSE", 20)
+        assert large.process_mean(df, kernel, noise).posterior(z)[0] == pytest.approx(dense, abs=1e-8)
+        if digits == 9:
+            assert dense == pytest.approx(processes.GaussianProcess(kernel, noise, x, y).posterior(z)[0], abs=1e-9)
