@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.similar import drop_similar
 from lodestone.llm.words import spans
 from lodestone.session import durable
 
@@ -135,15 +136,65 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return near_groups(docs, id_col, text_col).select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
+def majority(hashes: np.ndarray, words: int) -> np.ndarray:
+    """64 bits a word: a bit is 1 if set in over half the ``hashes``, which each word after the first mixes anew."""
+    total = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        some = hashes[at : at + BLOCK]
+        for w in range(words):
+            if w:  # the finaliser of SplitMix64, one to one
+                some = some + np.uint64(0x9E3779B97F4A7C15)
+                some = (some ^ (some >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                some = (some ^ (some >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                some = some ^ (some >> np.uint64(31))
+            octets = some.view(np.uint8).reshape(-1, 8)
+            total[w] += np.concatenate([np.bincount(octets[:, k], minlength=256) @ BITS for k in range(8)])
+    return np.packbits(total * 2 > len(hashes), axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def reach(similarity: float, bits: int) -> int:
+    """Differing bits of fingerprints of two sets of that Jaccard similarity: the mean and four deviations.
+
+    For sets of one size; a bit differs with the angle between them as a share of the half turn.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
+
+
+def meetings(prints: DataFrame, words: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows ``at`` whose fingerprints ``fp`` (arrays of ``words`` longs) come within one bit in a segment.
+
+    Each 32-bit segment of each fingerprint is a row of that segment's table; each value in it also
+    enumerates the Hamming ball of radius 1 around it and fetches the table's matches. All rows of a
+    value meet its first row, and the first rows of values one bit apart meet, so that a large group
+    of near copies costs a row a text. Two fingerprints of fewer than four differing bits a word are
+    so joined by a path, each step of which comes near in a segment; where a step is too far in all
+    bits the caller has to find the pair in another way.
+    """
+    values = [v for w in range(words) for v in (F.col("fp")[w].bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp")[w], 32))]
+    keys = F.array(*[v.bitwiseOR(F.lit(k << 32)) for k, v in enumerate(values)])
+    table = prints.select("at", F.explode(keys).alias("key")).withColumn("first", F.min("at").over(Window.partitionBy("key")))
+    table = durable(table, "segments")
+    held = table.where("at = first").select("at", "key")
+    probes = _balls(held.withColumn("fp", F.col("at")), F.col("key"), 32, []).withColumnRenamed("fp", "at")
+    # as in ``links`` the optimiser doesn't count exploded rows
+    found = held.alias("t").hint("merge").join(probes.alias("p"), (F.col("t.key") == F.col("p.key")) & (F.col("t.at") != F.col("p.at")))
+    stars = table.where("at <> first").select(F.col("first").alias("a"), F.col("at").alias("b"))
+    return found.select(F.least("t.at", "p.at").alias("a"), F.greatest("t.at", "p.at").alias("b")).union(stars).distinct()
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words_per: int = 5) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one of the smallest id.
 
     Without ``similarity`` copies are linked by fingerprints of at most 3 differing bits. With it
-    they are those whose sets of ``words_per`` words reach that Jaccard similarity: so far apart
-    64 bits say too little (``lodestone.llm.similar``), and the sets' own tables and parity
-    fingerprints take their place. Nulls, repeats and empty tables are as in ``near_groups``.
+    they are those whose sets of ``words_per`` words reach that Jaccard similarity: fingerprints of
+    the sets meet in segments, all their bits are verified and the sets compared; as no number of
+    bits is sure to hold that similarity, the sets' own tables find what lies further apart
+    (``lodestone.llm.similar``). Nulls, repeats and empty tables are as in ``near_groups``.
     """
     if similarity is not None:
+        from lodestone.llm.similar import drop_similar  # it is built on this module
+
         return drop_similar(docs, similarity, words_per, id_col, text_col)
     stored = durable(docs.withColumn("__at", F.monotonically_increasing_id()), "documents")
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("__at").alias("at"))
