@@ -73,8 +73,15 @@ MAKERS: dict[str, Callable[..., Gram]] = {
 }
 
 
+#: Kernels whose sums over points ``plans.sums`` knows, by the parameter that makes them.
+SUMMED = {"laplacian": "beta", "fbm": "hurst", "dirac": "noise"}
+
+
 def kernel(name: str, **parameters: float) -> Gram:
-    return MAKERS[name](**parameters)
+    of = MAKERS[name](**parameters)
+    if name in SUMMED:
+        of.parts = [(name, abs(parameters[SUMMED[name]]) if name == "dirac" else parameters[SUMMED[name]])]
+    return of
 
 
 def plus(*kernels: Gram) -> Gram:
@@ -84,6 +91,8 @@ def plus(*kernels: Gram) -> Gram:
             out += k(x, y)
         return out
 
+    if all(hasattr(k, "parts") for k in kernels):
+        of.parts = [p for k in kernels for p in k.parts]
     return of
 
 

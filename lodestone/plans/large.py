@@ -3,21 +3,25 @@
 Points are distinct and lie on the driver with vectors over them (some 40 bytes a point); the
 matrix never exists. Either the kernel is, to rounding, a product of few features (``features_of``
 shows it for every row), and sums over the rows answer exactly in linear time; or the system is
-solved by conjugate gradients, each product over all pairs in tiles on the executors.
+solved by conjugate gradients, each product over all pairs in tiles on the executors, or, for kernels
+that ``plans.sums`` knows, by sums that need only near pairs one by one.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import heapq
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans import processes
-from lodestone.plans.gram import Gram
+from lodestone.plans import processes, sums
+from lodestone.plans.gram import Gram, plus
 from lodestone.session import durable
 
 #: Points whose dense matrix is solved in one place (128 MB).
@@ -28,8 +32,12 @@ RANK = 1_500
 LEFT = 1e-13
 #: A tile's cells (512 KB) stay in a core's cache.
 TILE, BLOCK = 256, 4096
-#: Numbers of the preconditioner on the driver (128 MB).
-HELD = 1 << 24
+#: Rows that are answered at a time by sums.
+ROWS = 200_000
+#: Cells of the preconditioner: a matrix of 72 MB.
+CENTRES = 3_000
+#: Numbers of the preconditioner's features on the driver (64 MB).
+HELD = 1 << 23
 
 
 def points(df: DataFrame, features: str = "features", target: str = "target") -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -177,26 +185,116 @@ def _products(spark: SparkSession, kernel: Gram, x: np.ndarray):
     return product, sent
 
 
-def solve(spark: SparkSession, kernel: Gram, x: np.ndarray, diagonal: np.ndarray, right: np.ndarray, smooth: Gram | None = None, tolerance: float = 1e-11, steps: int = 1_000) -> np.ndarray:
-    """(K + diag)⁻¹ right, columns at once, by conjugate gradients that a pivoted factor of ``smooth`` speeds up.
+def _summed(spark: SparkSession, of: sums.Sums):
+    """v → K v: near pairs on the executors, the rest meanwhile on the driver."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    sent = spark.sparkContext.broadcast([(sums.Distances(d.x, d.hurst, d.grid), d.shares(tasks)) for d in of.power])
 
-    ``smooth`` is the part of ``kernel`` without what it has on the diagonal alone.
-    """
-    smooth = smooth or kernel
+    def near(v: np.ndarray) -> np.ndarray:
+        given = spark.sparkContext.broadcast(v)
+
+        def run(frames):
+            for batch in frames:
+                for t in batch.column(0).to_pylist():
+                    for k, (d, shares) in enumerate(sent.value):
+                        out = d.at(d.x[shares[t]], given.value)
+                        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t]), pa.array([out.tobytes()], pa.binary())], ["k", "t", "v"])
+
+        out = np.zeros(len(v))
+        for r in spark.range(0, tasks, 1, tasks).mapInArrow(run, "k long, t long, v binary").collect():
+            out[sent.value[r["k"]][1][r["t"]]] += np.frombuffer(r["v"])
+        given.destroy()
+        return out
+
+    def product(v: np.ndarray) -> np.ndarray:
+        out = np.empty_like(v)
+        for c in range(v.shape[1]):
+            w = np.ascontiguousarray(v[:, c])
+            with ThreadPoolExecutor(2) as other:
+                later = other.submit(near, w)
+                smooth = other.submit(lambda w=w: of.smooth(of.x, w, of.trees(w)))
+                far = sum((d.at(d.x, None, d.local(w)) for d in of.power), np.zeros(len(w)))
+                out[:, c] = smooth.result() + of.dirac * w - (far + later.result()) / 2
+        return out
+
+    return product, sent
+
+
+def _cells(kernel: Gram, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each point's cell, a point near each cell's middle): boxes halved where rows times the kernel's change is largest."""
+
+    def made(mine: np.ndarray):
+        low, high = x[mine].min(0), x[mine].max(0)
+        middle = int(mine[((x[mine] - (low + high) / 2) ** 2).sum(1).argmin()])
+        ends = np.vstack([low, high])
+        k = kernel(ends, ends)
+        return (-len(mine) * float(k[0, 0] + k[1, 1] - 2 * k[0, 1]), middle, mine, int((high - low).argmax()))
+
+    cells = [made(np.arange(len(x)))]
+    while len(cells) < most and cells[0][0] < 0:
+        _, _, mine, axis = heapq.heappop(cells)
+        c = x[mine, axis]
+        left = c <= (c.min() + c.max()) / 2
+        for part in (mine[left], mine[~left]):
+            heapq.heappush(cells, made(part))
+    cell = np.empty(len(x), int)
+    for k, (_, _, mine, _) in enumerate(cells):
+        cell[mine] = k
+    return cell, np.array([c[1] for c in cells])
+
+
+def _eased(kernel: Gram, x: np.ndarray, d: np.ndarray):
+    """r → about (K + diag d)⁻¹ r: pivoted features; of what they leave, what is constant in cells; the rest as a diagonal."""
     n = len(x)
-    _, phi, rest = pivoted(smooth, x, 1e-10, max(1, min(512, HELD // max(1, n))))
-    d = own(kernel, x) - own(smooth, x) + diagonal + rest
-    d = np.maximum(d, 1e-10 * max(1.0, float(d.max())))
-    inner = np.eye(len(phi))
-    for i in range(0, n, BLOCK):
-        inner += (phi[:, i : i + BLOCK] / d[i : i + BLOCK]) @ phi[:, i : i + BLOCK].T
-    root = np.linalg.inv(np.linalg.cholesky(inner))
+    _, phi, _ = pivoted(kernel, x, 1e-10, max(1, min(512, HELD // max(1, n))))
+    cell, middle = _cells(kernel, x, min(CENTRES, 1 + n // 8))
+    size = own(kernel, x)
+    left = lambda a, b: kernel(x[a], x[b]) - phi[:, a].T @ phi[:, b]
+    d = d.copy()
+    order = np.argsort(cell, kind="stable")
+    for c, mine in enumerate(np.split(order, np.searchsorted(cell[order], np.arange(1, len(middle))))):
+        m = middle[c]
+        apart = phi[:, mine] - phi[:, [m]]
+        d[mine] += np.maximum(size[mine] + size[m] - 2 * kernel(x[mine], x[m : m + 1])[:, 0] - (apart**2).sum(0), 0)
+    weight = np.sqrt(np.bincount(cell, 1 / d, len(middle)))
+    inner = np.empty((len(middle), len(middle)))
+    for i in range(0, len(middle), TILE):
+        inner[i : i + TILE] = left(middle[i : i + TILE], middle) * weight[i : i + TILE, None] * weight
+    inner += np.diag(1 + 1e-9 * np.diag(inner))
+    inner = np.linalg.cholesky(inner)
+    inner = np.linalg.inv(inner)
+    inner = inner.T @ inner
+    np.negative(inner, out=inner)
+    inner[np.diag_indices(len(inner))] += 1
+    inner /= weight[:, None]
+    inner /= weight
+
+    def local(r):
+        u = r / d[:, None]
+        sums_ = np.column_stack([np.bincount(cell, c, len(middle)) for c in u.T])
+        return u - (inner @ sums_)[cell] / d[:, None]
+
+    outer = np.eye(len(phi))
+    for i in range(0, len(phi), 16):
+        outer[:, i : i + 16] += phi @ local(phi[i : i + 16].T)
+    outer = np.linalg.inv(np.linalg.cholesky((outer + outer.T) / 2))
 
     def eased(r):
-        u = r / d[:, None]
-        return u - (phi.T @ (root.T @ (root @ (phi @ u)))) / d[:, None]
+        u = local(r)
+        return u - local(phi.T @ (outer.T @ (outer @ (phi @ u))))
 
-    product, sent = _products(spark, kernel, x)
+    return eased
+
+
+def solve(spark: SparkSession, kernel: Gram, x: np.ndarray, diagonal: np.ndarray, right: np.ndarray, smooth: Gram | None = None, tolerance: float = 1e-11, steps: int = 1_000, of: sums.Sums | None = None) -> np.ndarray:
+    """(K + diag)⁻¹ right, columns at once, by conjugate gradients that what ``_eased`` makes of ``smooth`` speeds up.
+
+    ``smooth`` is the part of ``kernel`` without what it has on the diagonal alone; ``of`` are its sums, if known.
+    """
+    smooth = smooth or kernel
+    d = own(kernel, x) - own(smooth, x) + diagonal
+    eased = _eased(smooth, x, np.maximum(d, 1e-10 * max(1.0, float(d.max()))))
+    product, sent = _summed(spark, of) if of else _products(spark, kernel, x)
     z = np.zeros_like(right)
     r = right.copy()
     s = eased(r)
@@ -243,7 +341,36 @@ def process_mean(df: DataFrame, kernel: Gram, noise: Gram, features: str = "feat
         return KernelSum(kernel, x, m.factor()[1])
     both = lambda a, b: kernel(a, b) + noise(a, b)
     repeat = 0.0 if (counts == 1).all() else 1e-8 * float(own(both, x) @ counts / counts.sum())
-    return KernelSum(kernel, x, solve(df.sparkSession, both, x, repeat / counts, y[:, None], kernel)[:, 0])
+    said = sums.sums_of(kernel, x)
+    of = sums.sums_of(plus(kernel, noise), x) if said and not said.dirac and said.holds() else None
+    of = of and replace(said, dirac=of.dirac)
+    weights = solve(df.sparkSession, both, x, repeat / counts, y[:, None], kernel, of=of)[:, 0]
+    return sums.Answers(said, weights) if of else KernelSum(kernel, x, weights)
+
+
+def predict_means(df: DataFrame, model, features: str = "features", column: str = "mean") -> DataFrame:
+    """Adds the means of ``process_mean``, many rows at a time."""
+    sent = df.sparkSession.sparkContext.broadcast(model if isinstance(model, sums.Answers) else cloudpickle.dumps(model))
+
+    def answered(batches):
+        t = pa.Table.from_batches(batches).combine_chunks()
+        of = t[features].combine_chunks()
+        x = of.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(of), -1)
+        m = sent.value if isinstance(sent.value, sums.Answers) else cloudpickle.loads(sent.value)
+        return t.append_column(column, pa.array(m.posterior(x)[0])).to_batches()
+
+    def run(frames):
+        held = []
+        for batch in frames:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS:
+                yield from answered(held)
+                held = []
+        if held:
+            yield from answered(held)
+
+    return df.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{column}` double"]))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from lodestone.queries.learning import KALMAN, answers, process_energy, quality,
 from lodestone.queries.library import X, register, x
 from lodestone.queries.registry import Tables, query
 from lodestone.queries.statistics import METRICS, rounded, rounded_items, rounded_metrics, scores
-from lodestone.session import new_path
+from lodestone.session import durable, new_path
 from lodestone.sources import binary, feeds, text
 
 # -- sources -----------------------------------------------------------------------------------------
@@ -324,11 +324,11 @@ def _(t: Tables):
 @query("EX1_process_regression")
 def _(t: Tables):
     """Scale on the training rows, fit a process, predict the rest, evaluate."""
-    split = ordered.split_by_share(series(t), 0.02, ["event_id"]).withColumn("y", F.array("target"))
+    split = durable(ordered.split_by_share(durable(series(t).select("event_id", "features", "target"), "series"), 0.02, ["event_id"]).select("features", "target", "split"), "split").withColumn("y", F.array("target"))
     scaled, fitted = scalers.fit_split(split, ["features", "y"], "gaussian")
     train = scaled.where("split = 'train'").select("features", F.col("y")[0].alias("target"))
     m = large.process_mean(train, gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5)), gram.kernel("dirac", noise=0.5))
-    test = processes.predict_batches(large.spread(scaled.where("split = 'test'").select("features", "target")), m, columns=("mean",))
+    test = large.predict_means(large.spread(scaled.where("split = 'test'").select("features", "target")), m)
     back = fitted["y"].backward(F.array("mean"))[0]
     return rounded(metrics.regression_metrics(test.select(back.alias("score"), F.col("target").alias("label"))))
 

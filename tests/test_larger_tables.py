@@ -185,3 +185,38 @@ def test_process_mean_of_all_pairs(spark, monkeypatch):
         assert large.process_mean(df, kernel, noise).posterior(z)[0] == pytest.approx(dense, abs=1e-8)
         if digits == 9:
             assert dense == pytest.approx(processes.GaussianProcess(kernel, noise, x, y).posterior(z)[0], abs=1e-9)
+
+
+def test_sums_over_points_of_the_plane():
+    """Without all pairs, what the kernel's matrix gives: between points, on them, and far outside."""
+    from lodestone.plans import gram, sums
+
+    rng = np.random.default_rng(9)
+    x = np.unique(rng.exponential(size=(3000, 2)).round(2), axis=0)
+    v = rng.normal(size=len(x))
+    z = np.vstack([x[:200], rng.exponential(size=(200, 2)), [[-3.0, 1.0], [50.0, 50.0]]])
+    kernel = gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5))
+    of = sums.sums_of(kernel, x)
+    assert of.holds() and sums.Answers(of, v).posterior(z)[0] == pytest.approx(kernel(z, x) @ v, abs=1e-8)
+    assert sums.sums_of(gram.plus(kernel, gram.kernel("rbf", b=1.0)), x) is None and sums.sums_of(kernel, np.column_stack([x, x[:, 0]])) is None
+    assert sums.sums_of(gram.plus(kernel, gram.kernel("dirac", noise=0.5)), np.vstack([x, x[:1] + 1e-12])) is None
+
+
+def test_process_mean_without_all_pairs(spark, monkeypatch):
+    """Known kernels go by sums, others by tiles; both give the dense means."""
+    from lodestone.plans import gram, large, sums
+
+    kernel, noise = gram.plus(gram.kernel("fbm", hurst=0.55), gram.kernel("laplacian", beta=2.5)), gram.kernel("dirac", noise=0.5)
+    x = np.random.default_rng(10).normal(size=(600, 2)).round(2)
+    rows = [(a, float(np.sin(sum(a)) + i % 3)) for i, a in enumerate(x.tolist())]
+    df = spark.createDataFrame(rows, "features array<double>, target double").repartition(3)
+    ask = lambda m: [r["mean"] for r in large.predict_means(df, m).orderBy("features", "target").collect()]
+    dense = ask(large.process_mean(df, kernel, noise))
+    monkeypatch.setattr(large, "DENSE", 20)
+    monkeypatch.setattr(large, "ROWS", 70)
+    products = large._products
+    monkeypatch.setattr(large, "_products", lambda *_: pytest.fail("all pairs"))
+    assert ask(large.process_mean(df, kernel, noise)) == pytest.approx(dense, abs=1e-8)
+    monkeypatch.setattr(large, "_products", products)
+    monkeypatch.setattr(sums, "sums_of", lambda *_: None)
+    assert ask(large.process_mean(df, kernel, noise)) == pytest.approx(dense, abs=1e-8)
