@@ -220,3 +220,31 @@ def test_process_mean_without_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(large, "_products", products)
     monkeypatch.setattr(sums, "sums_of", lambda *_: None)
     assert ask(large.process_mean(df, kernel, noise)) == pytest.approx(dense, abs=1e-8)
+
+
+def test_dense_kernel_matrix_by_values(spark, monkeypatch):
+    """Cuts deal the cells to branches, each once, what is no number too."""
+    from lodestone.functions import kernels
+
+    monkeypatch.setattr(kernels, "CHUNK", 1000)
+    monkeypatch.setattr(kernels, "COLUMNS", 16)
+    monkeypatch.setattr(kernels, "FIRST", 40)
+    x = np.random.default_rng(11).normal(size=(150, 3))
+    x[7] = np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    ask = lambda **k: sorted((r["i"], r["j"], repr(r["v"])) for r in kernels.dense_matrix(df, lambda a, b: np.floor(a @ b.T), **k).collect())
+    got = ask(cuts=(-1.0, 0.0, 2.0))
+    assert got == ask() and len(got) == len({(i, j) for i, j, _ in got}) == 150**2 and sum(v == "nan" for _, _, v in got) == 299
+
+
+def test_kernel_matrix_takes_little_disk(spark, tmp_path):
+    """Values of six digits go to dictionaries: 8 bytes each before."""
+    import pyarrow.parquet as pq
+
+    from lodestone import queries as library
+
+    v = np.random.default_rng(12).normal(size=(4000, 64)) / 8
+    spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    library.QUERIES["N27_kernel_matrix"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    groups = [m.row_group(k) for m in (pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")) for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 4000**2 and sum(g.column(2).total_compressed_size for g in groups) < 5 * 4000**2
